@@ -115,4 +115,23 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM line GROUP BY doc_id, size, source_size, target, key, upto
 """
 
-ORACLES = {"op1_sharding": OP1, "op7_mixing": OP7}
+OP8 = """
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM tokens
+), flat AS (SELECT doc_id, unnest(s) AS g FROM sets
+), sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets
+), common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM sizes UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT s.doc_id, s.n AS n_shingles, m.component_id FROM sizes s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) m ON m.x = s.doc_id
+"""
+
+ORACLES = {
+    "op8_jaccard_join": OP8,
+   "op1_sharding": OP1, "op7_mixing": OP7}
