@@ -1,4 +1,76 @@
-STAGES = []
+"""The corpus pipeline: five stages, each over all that the one before kept.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the docs of the next. All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirefold.llm import decontaminate, jaccard, langid, mixing, sharding
+from quirefold.llm.common import stash, table
+
+#: Predictions below this calibrated probability are rejected, as are texts without a letter.
+LEAST_LANGUAGE_SCORE = 0.5
+#: Lists of ids up to this many rows (16 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _by_id(docs: DataFrame, ids: DataFrame, how: str, *more: str) -> DataFrame:
+    """Semi- or anti-join on doc_id and more columns, null matching null."""
+    ids = stash(ids.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", *more)]).distinct(), "ids")
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    same = F.lit(True)
+    for c in ("doc_id", *more):
+        same = same & docs[c].eqNullSafe(F.col(f"__{c}"))
+    return docs.join(side, same, how)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised."""
+    model = langid.fit(docs, ~langid.held_out(F.col("doc_id"), langid.FOLDS, langid.FOLD))
+    named = langid.predict(docs.withColumns({}), model)
+    return named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked documents; texts without words stay."""
+    groups = jaccard.linked_components(docs)
+    return _by_id(docs, groups.where("doc_id != component_id").select("doc_id"), "left_anti")
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    return _by_id(docs, found, "left_anti")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a row for each time a document is taken."""
+    return mixing.mixed(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row of the mix."""
+    return sharding.assign_shards(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("benchmark", benchmark),
+    ("mixture", mixture),
+    ("shards", shards),
+]
+
+#: Language identification learns its model, which SQL cannot express; tests/llm checks the stages by brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

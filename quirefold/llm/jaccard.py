@@ -8,9 +8,9 @@ pivots divide what is left:
 
 1. Equal sets are one class (by a 64-bit digest); only classes go on.
 2. Coarse regions. If x and y link they differ in at most D = 15 (|x| + |y|) / 185 shingles, so of more than D
-   hash ranges one holds the same shingles in both. Each class emits a signature per range; equal signatures
-   chain classes into regions, so every link lies inside one region. Tasks combine equal signatures to their
-   smallest class before the shuffle.
+   hash ranges one holds the same shingles in both. Each class emits a signature per range, and classes with an
+   equal signature are chained into one region unless a lower bound of their distance (from counts of shingles in
+   64 buckets) exceeds what links; so every link lies inside one region.
 3. Regions of more than LIMIT classes are divided by pivots: each class goes to the Voronoi cell of its nearest
    pivot p and also to that of each pivot q with d(x, q) - d(x, p) <= 2 * 0.15, since by the triangle
    inequality a linked y at home there satisfies d(x, q) <= d(y, q) + 0.15 <= d(y, p) + 0.15 <= d(x, p) + 0.30.
@@ -40,8 +40,12 @@ PERCENT = 85
 EPSILON = 1 - PERCENT / 100
 #: Classes in a region that one task joins, pivots per division, divisions before blocks.
 LIMIT, PIVOTS, DEPTH = 1024, 16, 2
-#: Signatures and bytes of sets that one task gets.
-PART_SIGNATURES, PART_BYTES = 1_500_000, 24 << 20
+#: Signatures, signature rows with sketches, and bytes of sets that one task gets.
+PART_SIGNATURES, PART_ROWS, PART_BYTES = 1_500_000, 150_000, 24 << 20
+#: Larger groups of one signature are chained whole, first in tasks, then over all: they cost time, never links.
+LOCAL_GROUP, LARGEST_GROUP = 2048, 8192
+#: Buckets of a sketch.
+BUCKETS = 64
 #: Rows up to which a lookup table of ids is broadcast (24 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _ODD = np.uint64(0x9FB21C651E98DF25)
@@ -113,47 +117,63 @@ def signatures(found: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Shingles per bucket, modulo 256. The sum of circular differences of two sketches is at most |x ^ y|."""
+    with np.errstate(over="ignore"):
+        bucket = ((found ^ (found >> np.uint64(32))) * _ODD) >> np.uint64(58)
+    return np.bincount(bucket.astype(np.int64), minlength=BUCKETS).astype(np.uint8).tobytes()
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and class of every row."""
+    """doc_id, n_shingles, class and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tx.as_strings(batch.column(1))
             for lo, hi in tx.slices(column):
-                sets = [(len(s), digest(s)) for s in shingle_sets(column.slice(lo, hi - lo))]
-                n, cls = zip(*sets, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "n_shingles", "cls"])
+                n, cls, kept = zip(*[(len(s), digest(s), sketch(s)) for s in shingle_sets(column.slice(lo, hi - lo))], strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch binary")
 
 
-def _stars(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of entries: indexes of one entry (smallest class) for each signature; edges (class, smallest class)."""
+def _group(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct entries, where groups of one signature begin, and their sizes."""
     order = np.lexsort((cls, sig))
     sig, cls = sig[order], cls[order]
-    first = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, bool)
-    heads = cls[first][np.cumsum(first) - 1] if len(sig) else cls
-    link = cls != heads
-    edges = np.unique(np.stack([cls[link], heads[link]], axis=1), axis=0) if link.any() else np.empty((0, 2), np.int64)
-    return order[first], edges[:, 0], edges[:, 1]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
+    sig, cls = sig[new], cls[new]
+    first = np.ones(len(sig), bool)
+    first[1:] = sig[1:] != sig[:-1]
+    starts = np.flatnonzero(first)
+    return sig, cls, starts, np.diff(np.append(starts, len(sig)))
+
 
+def _chain(cls: np.ndarray, starts: np.ndarray, sizes: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """Edges (class, first class) of the groups marked large."""
+    edges = [np.stack([cls[at : at + n], np.full(n, cls[at])], axis=1)[1:] for at, n in zip(starts[large], sizes[large], strict=True)]
+    return np.unique(np.concatenate(edges), axis=0) if edges else np.empty((0, 2), np.int64)
 
-def chained(docs: DataFrame, n_parts: int) -> DataFrame:
-    """Edges (a, b) that chain classes with an equal signature."""
+
+def signed_groups(docs: DataFrame, n_parts: int) -> DataFrame:
+    """Members (sig, a) of the signatures that several classes have, and edges (a, b) of the groups chained whole."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            sig, cls = np.concatenate(held_sig), np.concatenate(held_cls)
-            one, a, b = _stars(sig, cls)
-            sig, cls = sig[one], cls[one]  # in order of signature
+            sig, cls, starts, sizes = _group(np.concatenate(held_sig), np.concatenate(held_cls))
+            large = sizes > LOCAL_GROUP
+            edges = _chain(cls, starts, sizes, large)
+            keep = np.repeat(~large, sizes)
+            keep[starts] = True
+            sig, cls = sig[keep], cls[keep]
             part = ((sig >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() + [len(sig)]
             rows = [(int(part[lo]), False, np.stack([sig[lo:hi].view(np.int64), cls[lo:hi]]).tobytes()) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
-            # Edges found here need no meeting; they go along, dealt over the parts.
-            edges = np.stack([a, b], axis=1)
             step = max(1, -(-len(edges) // n_parts))
-            rows += [((int(a[lo]) & 0xFFFFFF) % n_parts, True, edges[lo : lo + step].tobytes()) for lo in range(0, len(edges), step)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["part", "edges", "data"])
+            rows += [(lo // step, True, edges[lo : lo + step].tobytes()) for lo in range(0, len(edges), step)]
+            part, kind, data = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind), pa.array(data, pa.binary())], ["part", "edges", "data"])
 
         held_sig: list[np.ndarray] = []
         held_cls: list[np.ndarray] = []
@@ -164,7 +184,7 @@ def chained(docs: DataFrame, n_parts: int) -> DataFrame:
             for lo, hi in tx.slices(column):
                 for found in shingle_sets(column.slice(lo, hi - lo)):
                     cls = digest(found)
-                    if cls in seen:
+                    if cls in seen or not len(found):
                         continue
                     seen.add(cls)
                     for signs in signatures(found):
@@ -179,16 +199,74 @@ def chained(docs: DataFrame, n_parts: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         whole = [np.frombuffer(x, np.int64).reshape(2, -1) for x in table.filter(pc.invert(table["edges"]))["data"].to_pylist()]
-        known = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in table.filter(table["edges"])["data"].to_pylist()]
-        if whole:
-            entries = np.concatenate(whole, axis=1)
-            _, a, b = _stars(entries[0].view(np.uint64), entries[1])
-            known.append(np.stack([a, b], axis=1))
-        edges = np.unique(np.concatenate(known), axis=0)
-        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
+        edges = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in table.filter(table["edges"])["data"].to_pylist()]
+        entries = np.concatenate([*whole, np.empty((2, 0), np.int64)], axis=1)
+        sig, cls, starts, sizes = _group(entries[0].view(np.uint64), entries[1])
+        edges = np.concatenate([*edges, _chain(cls, starts, sizes, sizes > LARGEST_GROUP)])
+        several = np.repeat((sizes > 1) & (sizes <= LARGEST_GROUP), sizes)
+        n, m = int(several.sum()), len(edges)
+        return pa.table({
+            "sig": pa.array(np.concatenate([sig[several].view(np.int64), np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n),
+            "a": np.concatenate([cls[several], edges[:, 0]]),
+            "b": pa.array(np.concatenate([np.zeros(n, np.int64), edges[:, 1]]), mask=np.arange(n + m) < n),
+        })
 
     packed = docs.select("text").mapInArrow(emit, "part int, edges boolean, data binary")
-    return packed.groupBy("part").applyInArrow(meet, "a long, b long").distinct()
+    return packed.groupBy("part").applyInArrow(meet, "sig long, a long, b long")
+
+
+def _maybe_linked(sizes: np.ndarray, kept: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Can the pairs (i, j) link, by sizes and sketches? Exact in that it never denies a link."""
+    a, b = sizes[i], sizes[j]
+    ok = 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
+    out = np.zeros(len(i), bool)
+    near = np.flatnonzero(ok)
+    for lo in range(0, len(near), 1 << 18):
+        k = near[lo : lo + (1 << 18)]
+        gap = kept[i[k]] - kept[j[k]]
+        gap = np.minimum(gap, np.negative(gap)).sum(axis=1, dtype=np.int64)
+        out[k] = (100 + PERCENT) * gap <= (100 - PERCENT) * (a[k] + b[k])
+    return out
+
+
+def _near_edges(table: pa.Table) -> pa.Table:
+    """Edges that chain members of equal signature which may link: rows sig, cls, n, sketch -> a, b."""
+    table = table.sort_by("sig")
+    sig, cls, n = (table[c].to_numpy() for c in ("sig", "cls", "n"))
+    kept = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BUCKETS)
+    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    sizes = np.diff(np.append(starts, len(sig)))
+    edges = []
+    for size in np.unique(sizes):
+        if size > 16 or size < 2:
+            continue
+        i, j = np.triu_indices(size, 1)
+        at = starts[sizes == size][:, None]
+        i, j = (at + i).ravel(), (at + j).ravel()
+        ok = _maybe_linked(n, kept, i, j)
+        edges.append(np.stack([cls[i[ok]], cls[j[ok]]], axis=1))
+    for at, size in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
+        # A spanning forest is enough: rows not yet reached are tried from each row reached.
+        rest = np.arange(at, at + size)
+        while len(rest):
+            front, rest = rest[:1], rest[1:]
+            while len(front) and len(rest):
+                one, front = front[0], front[1:]
+                ok = _maybe_linked(n, kept, np.full(len(rest), one), rest)
+                edges.append(np.stack([cls[rest[ok]], np.full(ok.sum(), cls[one])], axis=1))
+                front, rest = np.concatenate([front, rest[ok]]), rest[~ok]
+    found = np.unique(np.concatenate([*edges, np.empty((0, 2), np.int64)]), axis=0)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+
+def chained(docs: DataFrame, owners: DataFrame, n_parts: int) -> DataFrame:
+    """Edges (a, b) whose components hold every link."""
+    groups = stash(signed_groups(docs, n_parts), "groups")
+    members = groups.where("b is null").select("sig", F.col("a").alias("cls"))
+    n_parts = max(12, math.ceil(members.count() / PART_ROWS))
+    members = members.join(owners.select("cls", "n", "sketch"), "cls").withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(n_parts)).cast("int"))
+    near = members.select("part", "sig", "cls", "n", "sketch").groupBy("part").applyInArrow(_near_edges, "a long, b long")
+    return near.union(groups.where("b is not null").select("a", "b"))
 
 
 def distance(x: np.ndarray, y: np.ndarray) -> float:
@@ -324,10 +402,10 @@ def linked_components(docs: DataFrame) -> DataFrame:
     """
     measured = stash(measure(docs), "measured")
     totals = measured.agg(F.sum("n_shingles").alias("n")).collect()[0]["n"] or 0
-    edges = chained(docs, max(12, math.ceil(0.3 * totals / PART_SIGNATURES)))
-    regions = stash(connected(edges), "regions")  # cls, in a region of more than one class
+    owners = stash(measured.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "owners")
+    edges = chained(docs, owners, max(12, math.ceil(0.3 * totals / PART_SIGNATURES)))
+    regions = connected(edges)  # classes in a region of more than one
 
-    owners = measured.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"))
     members = stash(regions.withColumnRenamed("node", "cls").join(owners, "cls").select("cls", F.col("root").alias("region"), F.coalesce("doc", F.lit(-(2**63))).alias("key")), "members")
     n_members = members.count()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, sharding
+from . import decontaminate, jaccard, langid, mixing, sharding
 from .common import table
 
 
@@ -30,7 +30,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.identify(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", langid.held_out(F.col("doc_id"), langid.FOLDS, langid.FOLD).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op6_decontamination": op6_decontamination,
+    "op9_language_id": op9_language_id,
     "op1_sharding": op1_sharding,
     "op7_mixing": op7_mixing,
     "op8_jaccard_join": op8_jaccard_join,
