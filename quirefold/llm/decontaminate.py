@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
 #: Item shingles up to which they are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_SHINGLES = 1_000_000
@@ -73,12 +75,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     together. Empty tables give an empty result. Other columns are ignored.
     """
     items = benchmark.select("item_id", word_list(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE).select("item_id", shingle_list(F.col("w")).alias("item"))
-    items = items.withColumns({"n": F.size("item"), "item_fp": fingerprint("item")})
+    items = stash(items.withColumns({"n": F.size("item"), "item_fp": fingerprint("item")}), "items")
     sought = items.select(F.explode("item").alias("h"), "n").distinct()
     small = sought.count() <= BROADCAST_SHINGLES
 
-    read = docs.select("doc_id", word_list(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE)
-    places = read.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - SHINGLE)).alias("start"))
+    # Texts of fewer words explode to nothing; a filter here would split every text twice.
+    read = docs.select("doc_id", word_list(F.col("text")).alias("w"))
+    places = read.select("doc_id", "w", F.explode(F.when(F.size("w") >= SHINGLE, F.sequence(F.lit(0), F.size("w") - SHINGLE))).alias("start"))
     if small:
         begun = places.withColumn("h", _at(F.col("w"), F.col("start"))).join(F.broadcast(sought), "h")
     else:
@@ -86,8 +89,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         key = F.xxhash64("doc_id", "w")
         narrow = places.select(key.alias("key"), "start", _at(F.col("w"), F.col("start")).alias("h")).join(sought, "h").select("key", "start", "n").distinct()
         begun = read.withColumn("key", key).join(narrow, "key")
-    window = F.slice("w", F.col("start") + 1, F.col("n") + SHINGLE - 1)
-    windows = begun.select("doc_id", "start", "n", shingle_list(window).alias("found")).withColumn("fp", fingerprint("found"))
+    begun = begun.select("doc_id", "start", "n", F.slice("w", F.col("start") + 1, F.col("n") + SHINGLE - 1).alias("w"))
+    windows = begun.select("doc_id", "start", "n", shingle_list(F.col("w")).alias("found"))
+    windows = stash(windows.withColumn("fp", fingerprint("found")), "windows")  # written, so that no plan computes a fingerprint twice
 
     keyed = lambda rows, fp: rows.select("*", F.posexplode(block_keys(F.col(fp))).alias("block", "bits"))
     one = keyed(windows.where(F.col("n") <= LONGEST), "fp")
@@ -97,9 +101,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     first = F.array_position(F.transform(masks, lambda m: differs.bitwiseAND(m) == 0), True) - 1
     near = one.join(F.broadcast(other) if small else other, ["n", "block", "bits"]).where((F.bit_count(differs) <= RADIUS) & (first == F.col("block")))
     pairs = near.select("doc_id", "start", "found", "item_id", "item", "n")
-    long = windows.where(F.col("n") > LONGEST).join(items.where(F.col("n") > LONGEST), "n").select(*pairs.columns)
-    both = _common(F.col("found"), F.col("item"))
-    checked = pairs.union(long).withColumn("both", both)
+    if items.where(F.col("n") > LONGEST).count():
+        pairs = pairs.union(windows.where(F.col("n") > LONGEST).join(items, "n").select(*pairs.columns))
+    checked = pairs.select("*", F.explode(F.array(_common(F.col("found"), F.col("item")))).alias("both"))  # once a pair
     checked = checked.withColumn("similarity", F.col("both") / (F.size("found") + F.size("item") - F.col("both"))).where(F.col("similarity") >= SIMILARITY)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), F.size("found").alias("n"))).alias("best")
     return checked.groupBy("doc_id", "item_id").agg(best).select(
