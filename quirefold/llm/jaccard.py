@@ -9,8 +9,8 @@ pivots divide what is left:
 1. Equal sets are one class (by a 64-bit digest); only classes go on.
 2. Coarse regions. If x and y link they differ in at most D = 15 (|x| + |y|) / 185 shingles, so of more than D
    hash ranges one holds the same shingles in both. Each class emits a signature per range, and classes with an
-   equal signature are chained into one region unless a lower bound of their distance (from counts of shingles in
-   64 buckets) exceeds what links; so every link lies inside one region.
+   equal signature are chained into one region unless a lower bound of their distance (from counts of
+   shingles in buckets) exceeds what links; so every link lies inside one region.
 3. Regions of more than LIMIT classes are divided by pivots: each class goes to the Voronoi cell of its nearest
    pivot p and also to that of each pivot q with d(x, q) - d(x, p) <= 2 * 0.15, since by the triangle
    inequality a linked y at home there satisfies d(x, q) <= d(y, q) + 0.15 <= d(y, p) + 0.15 <= d(x, p) + 0.30.
@@ -39,13 +39,13 @@ SHINGLE = 4
 PERCENT = 85
 EPSILON = 1 - PERCENT / 100
 #: Classes in a region that one task joins, pivots per division, divisions before blocks.
-LIMIT, PIVOTS, DEPTH = 1024, 16, 2
+LIMIT, PIVOTS, DEPTH = 2048, 16, 2
 #: Signatures, signature rows with sketches, and bytes of sets that one task gets.
-PART_SIGNATURES, PART_ROWS, PART_BYTES = 1_500_000, 150_000, 24 << 20
+PART_SIGNATURES, PART_ROWS, PART_BYTES = 800_000, 100_000, 16 << 20
 #: Larger groups of one signature are chained whole, first in tasks, then over all: they cost time, never links.
 LOCAL_GROUP, LARGEST_GROUP = 2048, 8192
-#: Buckets of a sketch.
-BUCKETS = 64
+#: Least and most buckets of a sketch; a bucket has some 16 shingles between.
+LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
 #: Rows up to which a lookup table of ids is broadcast (24 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _ODD = np.uint64(0x9FB21C651E98DF25)
@@ -118,10 +118,25 @@ def signatures(found: np.ndarray) -> list[np.ndarray]:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """Shingles per bucket, modulo 256. The sum of circular differences of two sketches is at most |x ^ y|."""
+    """Shingles per bucket, modulo 256; buckets are a power of two and halve by adding neighbours.
+
+    The sum of circular differences of two sketches of one length is at most |x ^ y|.
+    """
+    bits = min(MOST_BUCKETS, max(LEAST_BUCKETS, len(found) // 16)).bit_length() - 1
     with np.errstate(over="ignore"):
-        bucket = ((found ^ (found >> np.uint64(32))) * _ODD) >> np.uint64(58)
-    return np.bincount(bucket.astype(np.int64), minlength=BUCKETS).astype(np.uint8).tobytes()
+        bucket = ((found ^ (found >> np.uint64(32))) * _ODD) >> np.uint64(64 - bits)
+    return np.bincount(bucket.astype(np.int64), minlength=1 << bits).astype(np.uint8).tobytes()
+
+
+def stack(sketches: list[bytes], buckets: int) -> np.ndarray:
+    """Sketches of at least so many buckets as rows of just so many."""
+    out = np.empty((len(sketches), buckets), np.uint8)
+    lengths = np.fromiter((len(s) for s in sketches), np.int64, len(sketches))
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        plain = np.frombuffer(b"".join([sketches[i] for i in at]), np.uint8)
+        out[at] = plain.reshape(len(at), buckets, length // buckets).sum(axis=2, dtype=np.uint8)
+    return out
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -221,8 +236,9 @@ def _maybe_linked(sizes: np.ndarray, kept: np.ndarray, i: np.ndarray, j: np.ndar
     ok = 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
     out = np.zeros(len(i), bool)
     near = np.flatnonzero(ok)
-    for lo in range(0, len(near), 1 << 18):
-        k = near[lo : lo + (1 << 18)]
+    step = max(1, (1 << 24) // kept.shape[1])
+    for lo in range(0, len(near), step):
+        k = near[lo : lo + step]
         gap = kept[i[k]] - kept[j[k]]
         gap = np.minimum(gap, np.negative(gap)).sum(axis=1, dtype=np.int64)
         out[k] = (100 + PERCENT) * gap <= (100 - PERCENT) * (a[k] + b[k])
@@ -232,14 +248,23 @@ def _maybe_linked(sizes: np.ndarray, kept: np.ndarray, i: np.ndarray, j: np.ndar
 def _near_edges(table: pa.Table) -> pa.Table:
     """Edges that chain members of equal signature which may link: rows sig, cls, n, sketch -> a, b."""
     table = table.sort_by("sig")
-    sig, cls, n = (table[c].to_numpy() for c in ("sig", "cls", "n"))
-    kept = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BUCKETS)
+    sig, every, every_n = (table[c].to_numpy() for c in ("sig", "cls", "n"))
+    sketches = table["sketch"].to_pylist()
     starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     sizes = np.diff(np.append(starts, len(sig)))
+    buckets = np.minimum.reduceat(np.fromiter((len(s) for s in sketches), np.int64, len(sketches)), starts)
     edges = []
-    for size in np.unique(sizes):
-        if size > 16 or size < 2:
-            continue
+    for width in np.unique(buckets):  # the sketches of a group are brought to its shortest
+        rows = np.flatnonzero(np.repeat(buckets == width, sizes))
+        _edges_at(every[rows], every_n[rows], stack([sketches[i] for i in rows], int(width)), sizes[buckets == width], edges)
+    found = np.unique(np.concatenate([*edges, np.empty((0, 2), np.int64)]), axis=0)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+
+def _edges_at(cls: np.ndarray, n: np.ndarray, kept: np.ndarray, sizes: np.ndarray, edges: list[np.ndarray]) -> None:
+    """Append the edges of adjacent groups of these sizes."""
+    starts = np.cumsum(sizes) - sizes
+    for size in np.unique(sizes[sizes <= 16]):
         i, j = np.triu_indices(size, 1)
         at = starts[sizes == size][:, None]
         i, j = (at + i).ravel(), (at + j).ravel()
@@ -255,8 +280,6 @@ def _near_edges(table: pa.Table) -> pa.Table:
                 ok = _maybe_linked(n, kept, np.full(len(rest), one), rest)
                 edges.append(np.stack([cls[rest[ok]], np.full(ok.sum(), cls[one])], axis=1))
                 front, rest = np.concatenate([front, rest[ok]]), rest[~ok]
-    found = np.unique(np.concatenate([*edges, np.empty((0, 2), np.int64)]), axis=0)
-    return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
 
 def chained(docs: DataFrame, owners: DataFrame, n_parts: int) -> DataFrame:
