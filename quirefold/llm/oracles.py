@@ -132,6 +132,17 @@ WITH RECURSIVE tokens AS (
 SELECT s.doc_id, s.n AS n_shingles, m.component_id FROM sizes s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) m ON m.x = s.doc_id
 """
 
+OP2 = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (SELECT payload_digest, max(page_id) AS first_page FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN p.page_id < g.first_page OR (p.page_id IS NULL AND g.first_page IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id < g.first_page OR p.page_id IS NULL THEN g.first_page END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
 ORACLES = {
+    "op2_warc": OP2,
     "op8_jaccard_join": OP8,
    "op1_sharding": OP1, "op7_mixing": OP7}
