@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .licenses import COPYRIGHT_LINE, EQUIVALENT, KNOWN, NOT_WORD
 from .mixing import RANGES, SLOTS, WEIGHTS  # noqa: F401
 from .sharding import POINTS, SHARDS
 
@@ -142,7 +143,31 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
 FROM p LEFT JOIN g USING (payload_digest)
 """
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    out = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
+    out = f"'  ' || regexp_replace({out}, {_quoted(NOT_WORD)}, '  ', 'g') || '  '"
+    for old, new in EQUIVALENT:
+        out = f"replace({out}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
+    return f"trim(replace({out}, '  ', ' '))"
+
+
+OP4 = f"""
+WITH known AS (
+  SELECT sha256(c) AS digest, min(license_id) AS license_id
+  FROM (SELECT license_id, {_canonical('text')} AS c FROM (VALUES {', '.join(f'({_quoted(i)}, {_quoted(t)})' for i, t in KNOWN)}) v(license_id, text))
+  WHERE c <> '' GROUP BY 1
+), docs AS (SELECT doc_id, {_canonical('text')} AS c FROM documents)
+SELECT d.doc_id, sha256(d.c) AS digest, CAST(length(d.c) AS BIGINT) AS n_chars, k.license_id FROM docs d LEFT JOIN known k ON k.digest = sha256(d.c)
+"""
+
 ORACLES = {
+    "op4_license_scan": OP4,
     "op2_warc": OP2,
     "op8_jaccard_join": OP8,
    "op1_sharding": OP1, "op7_mixing": OP7}

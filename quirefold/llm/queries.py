@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, decontaminate, jaccard, langid, mixing, quality_model, sharding, toxicity, warc
+from . import compression, decontaminate, jaccard, langid, licenses, mixing, quality_model, sharding, toxicity, warc
 from .common import held_out, table
 
 
@@ -38,6 +38,10 @@ def op3_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.quality(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
@@ -72,6 +76,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_compression_bands": op3_compression_bands,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_classifier": op5_quality_classifier,
     "op10_toxicity": op10_toxicity,
     "op6_decontamination": op6_decontamination,
