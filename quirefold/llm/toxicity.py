@@ -9,7 +9,6 @@ hits of a whole text gives the score.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,9 +42,9 @@ def edits(term: str) -> int:
 
 def fold(word: str) -> str:
     """Lower case, without punctuation at the ends; look-alikes count as letters inside a word with letters."""
-    word = word.lower().strip(_EDGE)
+    word = word.lower().rstrip(_EDGE + "!@$").lstrip(_EDGE + "!")
     if not word.isalpha() and any(c in LOOK_ALIKES for c in word) and any(c.isalpha() for c in word):
-        word = "".join(LOOK_ALIKES.get(c, c) for c in word).strip(_EDGE + "!")
+        word = "".join(LOOK_ALIKES.get(c, c) for c in word)
     return word
 
 
@@ -198,59 +197,70 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray | Non
     """Lexicon and score weights from labelled rows outside the held-out fold, about MAX_TRAIN of them at most."""
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD)).select("doc_id", F.col("toxic").cast("int").alias("label"))
     n = rows.count()
-    plain = Lexicon({t: 1.0 for t in INSULTS}, frozenset())
     if not n:
-        return plain, None
+        return Lexicon({t: 1.0 for t in INSULTS}, frozenset()), None
     share = int(min(1.0, MAX_TRAIN / n) * 1_000_000) + 1
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share)
-    # About MAX_TRAIN rows whatever the table, so the draw may be broadcast. Terms are found on one half of it (two
-    # thirds) and score weights on the rest, else every learned term would look certain.
-    joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").withColumn("terms_from", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(3)) > 0)
+    # About MAX_TRAIN rows whatever the table, so the draw may be broadcast. Score weights come from hits of terms that
+    # the other half of the draw shows to be toxic, else every learned term would look certain.
+    joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(2)).cast("int"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tx.as_strings(batch.column(0))
-            label = batch.column(1).to_pylist()
+            label, half = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for lo, hi in tx.slices(column):
-                toxic: Counter = Counter()
-                every: Counter = Counter()
+                sums: dict[str, list[int]] = {}
                 found = tx.words(column.slice(lo, hi - lo))
                 vocab = [fold(w) for w in found.vocab.to_pylist()]
                 for i in range(hi - lo):
                     own = {vocab[k] for k in np.unique(found.codes[found.starts[i] : found.starts[i + 1]])}
                     own = {w for w in own if 3 < len(w) < 40}
                     own |= {w[:k] + "*" for w in own for k in STEMS if len(w) > k}
-                    every.update(own)
-                    if label[lo + i]:
-                        toxic.update(own)
+                    at, toxic = 2 * half[lo + i], bool(label[lo + i])
+                    for term in own:
+                        sum_of = sums.get(term)
+                        if sum_of is None:
+                            sum_of = sums[term] = [0, 0, 0, 0]
+                        sum_of[at] += 1
+                        sum_of[at + 1] += toxic
                 # A term without a toxic text here still counts where others have one, so all go out.
-                yield pa.RecordBatch.from_arrays([pa.array(every.keys(), pa.string()), pa.array(every.values(), pa.int64()), pa.array([toxic[t] for t in every], pa.int64())], ["term", "n", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), *[pa.array([v[k] for v in sums.values()], pa.int64()) for k in range(4)]], ["term", "n0", "t0", "n1", "t1"])
 
-    sums = joined.where("terms_from").select("text", "label").mapInArrow(count, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    sums = joined.select("text", "label", "half").mapInArrow(count, "term string, n0 long, t0 long, n1 long, t1 long")
+    sums = sums.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")])
     base = (drawn.agg(F.avg("label")).collect()[0][0]) or 0.0
-    sure = (F.col("toxic") + 2 * base) / (F.col("n") + 2)
-    top = sums.where((F.col("toxic") >= LEAST_TOXIC) & (sure >= LEAST_SHARE)).orderBy(F.desc("toxic"), "term").limit(MAX_TERMS)  # a lexicon has a size
-    weights = {t: 1.0 for t in INSULTS}
-    stems: set[str] = set()
-    found = [(r["term"], (r["toxic"] + 2 * base) / (r["n"] + 2)) for r in top.collect()]
-    for term, weight in sorted(found, key=lambda x: len(x[0])):
-        word = term.rstrip("*")
-        if any(word[:k] in stems for k in STEMS):
-            continue  # a shorter stem says it already
-        if term.endswith("*"):
-            stems.add(word)
-        weights[word] = max(weights.get(word, 0.0), weight)
-    lexicon = Lexicon(weights, frozenset(stems))
+    sure = lambda n, t: (t >= LEAST_TOXIC) & ((t + 2 * base) / (n + 2) >= LEAST_SHARE)
+    any_of = sure(F.col("n0"), F.col("t0")) | sure(F.col("n1"), F.col("t1")) | sure(F.col("n0") + F.col("n1"), F.col("t0") + F.col("t1"))
+    top = sums.where(any_of).orderBy(F.desc(F.col("t0") + F.col("t1")), "term").limit(MAX_TERMS)  # a lexicon has a size
+    rows = [tuple(r) for r in top.collect()]
+
+    def lexicon_of(*counts: tuple[str, int, int]) -> Lexicon:
+        weights, stems = {t: 1.0 for t in INSULTS}, set()
+        for term, n, toxic in sorted(counts, key=lambda x: (len(x[0].rstrip("*")), x[0])):
+            word = term.rstrip("*")
+            if not sure(n, toxic) or any(word[:k] in stems for k in STEMS):
+                continue  # too rare, or a shorter stem says it already
+            if term.endswith("*"):
+                stems.add(word)
+            weights[word] = max(weights.get(word, 0.0), (toxic + 2 * base) / (n + 2))
+        return Lexicon(weights, frozenset(stems))
+
+    halves = (lexicon_of(*[(r[0], r[3], r[4]) for r in rows]), lexicon_of(*[(r[0], r[1], r[2]) for r in rows]))
+    lexicon = lexicon_of(*[(r[0], r[1] + r[3], r[2] + r[4]) for r in rows])
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, known = lexicon.automaton(), {}
+        machines, known = [h.automaton() for h in halves], ({}, {})
         for batch in batches:
-            column = tx.as_strings(batch.column(0))
-            for lo, hi in tx.slices(column):
-                x = features(column.slice(lo, hi - lo), lexicon, machine, known)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
-
-    rest = joined.where("not terms_from").select("text", "label").mapInArrow(hits, "label int, x binary").toArrow()
+            half = np.asarray(batch.column(2))
+            for k in (0, 1):
+                part = batch.filter(pa.array(half == k))
+                column = tx.as_strings(part.column(0))
+                for lo, hi in tx.slices(column):
+                    x = features(column.slice(lo, hi - lo), halves[k], machines[k], known[k])
+                    yield pa.RecordBatch.from_arrays([part.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
+
+    rest = joined.select("text", "label", "half").mapInArrow(hits, "label int, x binary").toArrow()
     y = rest["label"].to_numpy().astype(float)
     if not len(y):
         return lexicon, None
