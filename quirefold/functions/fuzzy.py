@@ -10,6 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Titles up to so many characters need so much similarity; longer ones need the last.
 THRESHOLDS = ((2, 95), (4, 85), (8, 75))
@@ -105,27 +106,27 @@ def first_near(text: str, word: str, most: int) -> tuple[int, int] | None:
     return best[1:] if best else None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else partial_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else token_sort_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _near_title(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([title_matches(x, y) for x, y in zip(a, b)], dtype="bool")
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 def near_spans(text: pd.Series, keywords: pd.Series) -> pd.Series:
     return pd.Series([[] if t is None or k is None else [{"start": s, "end": e} for s, e in near_sequence(t, list(k))] for t, k in zip(text, keywords)])
 
