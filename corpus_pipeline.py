@@ -36,7 +36,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents; texts without words stay."""
+    """The document with the smallest id of each group of linked documents (rows that repeat that id stay with it; rows
+    without an id and texts without words stay)."""
     groups = jaccard.linked_components(docs)
     return _by_id(docs, groups.where("doc_id != component_id").select("doc_id"), "left_anti")
 

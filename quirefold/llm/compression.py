@@ -22,7 +22,7 @@ LEVEL = 3
 #: bytes packs to about half, of 20,000 to 0.4; base64 to 0.76; a phrase said over and over to less than 0.1.
 BANDS = ((200, 0.30, 0.98), (1_000, 0.25, 0.75), (4_000, 0.20, 0.72), (20_000, 0.15, 0.70), (100_000, 0.10, 0.70))
 #: Chunk size in bytes; its band; the share of chunks that may lie outside.
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 2_000, (0.25, 0.78), 0.25
+CHUNK, CHUNK_BAND, CHUNK_SHARE = 2_000, (0.25, 0.72), 0.25
 #: Base rules: least words, most repeated words of 100.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 10, 20, 5
 SYMBOLS = r"[#*$%&|<>]"

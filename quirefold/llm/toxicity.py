@@ -9,6 +9,7 @@ hits of a whole text gives the score.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import held_out
+from .common import held_out, stash
 
 #: Fixed list: common insults.
 INSULTS = ("idiot", "moron", "imbecile", "stupid", "dumb", "loser", "scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown", "fool", "filth", "vermin", "bastard", "bitch", "asshole", "jerk", "creep", "retard", "whore", "slut")
@@ -228,9 +229,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray | Non
                 yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), *[pa.array([v[k] for v in sums.values()], pa.int64()) for k in range(4)]], ["term", "n0", "t0", "n1", "t1"])
 
     sums = joined.select("text", "label", "half").mapInArrow(count, "term string, n0 long, t0 long, n1 long, t1 long")
-    sums = sums.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")])
+    sums = stash(sums.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")]), "terms")
     base = (drawn.agg(F.avg("label")).collect()[0][0]) or 0.0
-    sure = lambda n, t: (t >= LEAST_TOXIC) & ((t + 2 * base) / (n + 2) >= LEAST_SHARE)
+    # So many toxic texts and no other are no accident among all the terms counted (some 20 may still be).
+    chance = math.log(max(2.0, sums.count() / 20)) / -math.log(min(max(base, 1e-3), 0.9))
+    least = max(LEAST_TOXIC, math.ceil(chance))
+    sure = lambda n, t: (t >= least) & ((t + 2 * base) / (n + 2) >= LEAST_SHARE)
     any_of = sure(F.col("n0"), F.col("t0")) | sure(F.col("n1"), F.col("t1")) | sure(F.col("n0") + F.col("n1"), F.col("t0") + F.col("t1"))
     top = sums.where(any_of).orderBy(F.desc(F.col("t0") + F.col("t1")), "term").limit(MAX_TERMS)  # a lexicon has a size
     rows = [tuple(r) for r in top.collect()]
@@ -243,7 +247,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray | Non
                 continue  # too rare, or a shorter stem says it already
             if term.endswith("*"):
                 stems.add(word)
-            weights[word] = max(weights.get(word, 0.0), (toxic + 2 * base) / (n + 2))
+            weights[word] = max(weights.get(word, 0.0), (toxic + 2 * base) / (n + 2) * toxic / (toxic + 4))
         return Lexicon(weights, frozenset(stems))
 
     halves = (lexicon_of(*[(r[0], r[3], r[4]) for r in rows]), lexicon_of(*[(r[0], r[1], r[2]) for r in rows]))
