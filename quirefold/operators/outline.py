@@ -27,6 +27,12 @@ def number_lines(lines: DataFrame, normalized: bool = False) -> DataFrame:
     return found.withColumn("title_idx", F.row_number().over(order) - 1).select("doc_id", "title_idx", "level", "number", "title")
 
 
+def rule_number(title_idx: Column) -> Column:
+    """1., 1.1, 1.1.1, 2., ... for titles 0, 1, 2, 3, ..."""
+    branch, deep = (F.floor(title_idx / 3) + 1).cast("string"), title_idx % 3
+    return F.concat(branch, F.when(deep == 0, F.lit(".")).when(deep == 1, F.lit(".1")).otherwise(F.lit(".1.1")))
+
+
 def short_lines_as_titles(elements: DataFrame, longest: int = 40) -> DataFrame:
     """Outline by rule, in place of a language model: an element of at most so many characters is a title.
 
@@ -34,9 +40,7 @@ def short_lines_as_titles(elements: DataFrame, longest: int = 40) -> DataFrame:
     """
     order = Window.partitionBy("doc_id").orderBy("ord")
     titles = elements.where(F.length("text") <= longest).withColumn("title_idx", (F.row_number().over(order) - 1).cast("int"))
-    branch = (F.floor(F.col("title_idx") / 3) + 1).cast("string")
-    deep = F.col("title_idx") % 3
-    number = F.when(deep == 0, F.concat(branch, F.lit("."))).when(deep == 1, F.concat(branch, F.lit(".1"))).otherwise(F.concat(branch, F.lit(".1.1")))
+    number = rule_number(F.col("title_idx"))
     return titles.select("doc_id", "title_idx", number.alias("token"), tx.outline_level(number).alias("level"), F.rtrim(number, F.lit(".")).alias("number"), F.col("text").alias("title"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -26,6 +26,19 @@ def parents(titles: DataFrame, prune: bool = False, max_level: int = MAX_LEVEL)
     return titles.withColumn("parent_idx", up)
 
 
+def of_marked(elements: DataFrame, is_title: Column) -> DataFrame:
+    """Sections where titles are marked on the elements themselves: doc_id, title_idx, title, content, section_hash.
+
+    One shuffle by document serves the window and the aggregation; text before the first title belongs to no section.
+    """
+    order = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    marked = elements.select("doc_id", "ord", "text", F.coalesce(is_title, F.lit(False)).alias("__title"))
+    owned = marked.withColumn("title_idx", F.sum(F.col("__title").cast("int")).over(order) - 1).where("title_idx >= 0")
+    body = tx.ordered_text(F.col("ord"), F.when(~F.col("__title"), tx.normal(F.col("text"))))
+    out = owned.groupBy("doc_id", "title_idx").agg(F.max(F.when(F.col("__title"), F.col("text"))).alias("title"), body.alias("content"))
+    return out.withColumn("section_hash", tx.section_hash(F.col("title"), F.col("content")))
+
+
 def contents(titles: DataFrame, elements: DataFrame) -> DataFrame:
     """Adds content and section_hash to matched titles (element_ord): the texts strictly between a title's element and the
     next matched title's, without elements that are titles themselves; '' for unmatched titles."""

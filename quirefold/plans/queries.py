@@ -58,9 +58,18 @@ def _by_doc(*order: str):
 SELECT t.doc_id, CAST(t.title_idx AS BIGINT) AS title_idx, t.number, CAST(t.level AS BIGINT) AS level, t.title, coalesce(b.content, '') AS content, sha256(t.title || '|' || coalesce(b.content, '')) AS section_hash
 FROM titles t LEFT JOIN bodies b USING (doc_id, title_idx)""")
 def sections_of_documents(spark, sf_dir):
-    """Lines, rule outline, contents between titles, hashes."""
+    """Lines, rule outline on the lines themselves, contents between titles, hashes; one shuffle."""
+    out = sections.of_marked(fx.lines(spark, sf_dir), F.length("text") <= 40)
+    number = outline.rule_number(F.col("title_idx"))
+    return _big(out.select("doc_id", "title_idx", F.rtrim(number, F.lit(".")).alias("number"), tx.outline_level(number).alias("level"), "title", "content", "section_hash"))
+
+
+@query(f"""WITH {fx.TITLES}, {_CONTENT}
+SELECT t.doc_id, CAST(t.title_idx AS BIGINT) AS title_idx, t.element_ord, coalesce(b.content, '') AS content FROM titles t LEFT JOIN bodies b USING (doc_id, title_idx)""")
+def section_contents(spark, sf_dir):
+    """Contents of titles that were matched to elements."""
     out = sections.contents(_titled(spark, sf_dir), fx.lines(spark, sf_dir))
-    return _big(out.select("doc_id", "title_idx", "number", "level", "title", "content", "section_hash"))
+    return _big(out.select("doc_id", "title_idx", "element_ord", "content"))
 
 
 @query(f"WITH {fx.LINES} SELECT doc_id, ord, text, CAST(char_start AS BIGINT) AS char_start, CAST(char_start + length(text) AS BIGINT) AS char_end, 0.0::DOUBLE AS x1, CAST(line * 20 AS DOUBLE) AS y1, 500.0::DOUBLE AS x2, CAST(line * 20 + 15 AS DOUBLE) AS y2 FROM lines")
