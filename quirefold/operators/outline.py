@@ -36,12 +36,12 @@ def rule_number(title_idx: Column) -> Column:
 def short_lines_as_titles(elements: DataFrame, longest: int = 40) -> DataFrame:
     """Outline by rule, in place of a language model: an element of at most so many characters is a title.
 
-    Numbers run 1., 1.1, 1.1.1 by the title's position, three to a branch.
+    Numbers run 1., 1.1, 1.1.1 by the title's position, three to a branch; element_ord is the element itself.
     """
     order = Window.partitionBy("doc_id").orderBy("ord")
     titles = elements.where(F.length("text") <= longest).withColumn("title_idx", (F.row_number().over(order) - 1).cast("int"))
     number = rule_number(F.col("title_idx"))
-    return titles.select("doc_id", "title_idx", number.alias("token"), tx.outline_level(number).alias("level"), F.rtrim(number, F.lit(".")).alias("number"), F.col("text").alias("title"))
+    return titles.select("doc_id", "title_idx", number.alias("token"), tx.outline_level(number).alias("level"), F.rtrim(number, F.lit(".")).alias("number"), F.col("text").alias("title"), F.col("ord").cast("long").alias("element_ord"))
 
 
 def match_titles(titles: DataFrame, elements: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -50,6 +50,7 @@ def match_titles(titles: DataFrame, elements: DataFrame, fuzzy: bool = True) ->
     Unmatched titles get null and do not move the search on. The search is sequential within a document, so a document's
     titles and texts are folded in one task; documents are independent. fuzzy False asks for exact containment.
     """
+    titles = titles.drop("element_ord")
     kinds = {f.name: f.dataType.simpleString() for f in titles.schema.fields}
 
     def fold(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -42,12 +42,15 @@ def of_marked(elements: DataFrame, is_title: Column) -> DataFrame:
 def contents(titles: DataFrame, elements: DataFrame) -> DataFrame:
     """Adds content and section_hash to matched titles (element_ord): the texts strictly between a title's element and the
     next matched title's, without elements that are titles themselves; '' for unmatched titles."""
-    starts = titles.where("element_ord is not null").groupBy("doc_id", F.col("element_ord").alias("ord")).agg(F.max("title_idx").alias("owner"))
-    e = elements.select("doc_id", "ord", "text").join(starts, ["doc_id", "ord"], "left")
-    order = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    body = e.withColumn("title_idx", F.last("owner", ignorenulls=True).over(order)).where("owner is null and title_idx is not null")
-    joined = body.groupBy("doc_id", "title_idx").agg(tx.ordered_text(F.col("ord"), tx.normal(F.col("text"))).alias("content"))
-    out = titles.join(joined, ["doc_id", "title_idx"], "left").withColumn("content", F.coalesce("content", F.lit("")))
+    # Titles and elements in one sequence: one shuffle by document, no join.
+    info = F.struct(*titles.columns)
+    t = titles.where("element_ord is not null").select("doc_id", F.col("element_ord").cast("long").alias("ord"), F.col("title_idx").alias("owner"), info.alias("info"), F.lit(None).cast("string").alias("text"))
+    e = elements.select("doc_id", F.col("ord").cast("long").alias("ord"), F.lit(None).cast(titles.schema["title_idx"].dataType).alias("owner"), F.lit(None).cast(t.schema["info"].dataType).alias("info"), "text")
+    order = Window.partitionBy("doc_id").orderBy("ord", F.col("owner").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    line = t.unionByName(e).withColumn("at", F.last(F.when(F.col("owner").isNotNull(), F.col("ord")), ignorenulls=True).over(order)).withColumn("owner", F.last("owner", ignorenulls=True).over(order))
+    body = tx.ordered_text(F.col("ord"), F.when(F.col("info").isNull() & (F.col("ord") != F.col("at")), tx.normal(F.col("text"))))
+    matched = line.where("owner is not null").groupBy("doc_id", "owner").agg(F.first("info", ignorenulls=True).alias("info"), body.alias("content")).select("info.*", "content")
+    out = matched.unionByName(titles.where("element_ord is null").withColumn("content", F.lit("")))
     return out.withColumn("section_hash", tx.section_hash(F.col("title"), F.col("content")))
 
 
@@ -62,31 +65,29 @@ def shared_contents(sections: DataFrame, elements: DataFrame) -> DataFrame:
     return s.withColumn("content", F.concat_ws("\n", F.nullif(own, F.lit("")), F.nullif(F.col("content"), F.lit("")))).drop("__next", "__text")
 
 
-def paths(sections: DataFrame, separator: str = "-", max_depth: int = MAX_LEVEL) -> DataFrame:
-    """Adds path, the titles from the root down, and order_key, which sorts a document's sections depth first.
+def paths(sections: DataFrame, separator: str = "-") -> DataFrame:
+    """Adds path, the titles from the root down, and place, the section's number in depth-first order.
 
-    Parents are joined level by level; depth is bounded by the outline's levels, not by its size.
+    A fold over each document's sections: a parent comes before its children, so one pass builds all paths.
     """
-    order = F.lpad(F.col("title_idx").cast("string"), 10, "0")
-    out = sections.withColumns({"path": F.col("title"), "order_key": order, "__up": F.col("parent_idx")})
-    up = sections.select("doc_id", F.col("title_idx").alias("__up"), F.col("title").alias("__title"), F.col("parent_idx").alias("__next"))
-    for _ in range(max_depth):
-        joined = out.join(up, ["doc_id", "__up"], "left")
-        found = F.col("__title").isNotNull()
-        out = joined.withColumns(
-            {
-                "path": F.when(found, F.concat(F.col("__title"), F.lit(separator), F.col("path"))).otherwise(F.col("path")),
-                "order_key": F.when(found, F.concat(F.lpad(F.col("__up").cast("string"), 10, "0"), F.lit("/"), F.col("order_key"))).otherwise(F.col("order_key")),
-                "__up": F.col("__next"),
-            }
-        ).drop("__title", "__next")
-    return out.drop("__up")
-
-
-def flatten(sections: DataFrame, separator: str = "-", max_depth: int = 3) -> DataFrame:
+
+    def fold(doc: pd.DataFrame) -> pd.DataFrame:
+        doc = doc.sort_values("title_idx")
+        known: dict[int, tuple[str, tuple]] = {}
+        for idx, up, title in zip(doc.title_idx, doc.parent_idx, doc.title, strict=True):
+            above, key = known.get(up, (None, ())) if up == up and up is not None else (None, ())
+            known[idx] = (title if above is None else f"{above}{separator}{title}", (*key, idx))
+        rank = {k: i for i, k in enumerate(sorted(known, key=lambda k: known[k][1]))}
+        return doc.assign(path=[known[i][0] for i in doc.title_idx], place=pd.array([rank[i] for i in doc.title_idx], dtype="int64"))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sections.schema.fields)
+    return sections.groupBy("doc_id").applyInPandas(fold, f"{kinds}, path string, place long")
+
+
+def flatten(sections: DataFrame, separator: str = "-") -> DataFrame:
     """Flat sections in depth-first order: doc_id, sec_idx, title (the path), content, level; empty ones go."""
-    whole = paths(sections, separator, max_depth).where("title <> '' or content <> ''")
-    order = Window.partitionBy("doc_id").orderBy("order_key")
+    whole = paths(sections.select("doc_id", "title_idx", "parent_idx", "title", "content", "level"), separator).where("title <> '' or content <> ''")
+    order = Window.partitionBy("doc_id").orderBy("place")
     return whole.select("doc_id", (F.row_number().over(order) - 1).alias("sec_idx"), F.col("path").alias("title"), "content", "level")
 
 

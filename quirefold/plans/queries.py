@@ -44,8 +44,8 @@ _CONTENT = """owned AS (
 
 
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = fx.lines(spark, sf_dir).where(F.length("text") <= 40).select("doc_id", F.col("ord").cast("long").alias("element_ord"), F.row_number().over(_by_doc("ord")).alias("n"))
-    return fx.titles(spark, sf_dir).join(order.select("doc_id", "element_ord", (F.col("n") - 1).alias("title_idx")), ["doc_id", "title_idx"])
+    """Rule titles with the element each stands for."""
+    return fx.titles(spark, sf_dir)
 
 
 def _by_doc(*order: str):
