@@ -104,3 +104,24 @@ def promoted_type(element_type: Column, size: Column, enabled: bool = False) ->
 def underline_length(x1: Column, x2: Column) -> Column:
     """Underscores that a drawn line stands for: one per 8 points, at least 6."""
     return F.greatest(((x2 - x1) / 8).cast("int"), F.lit(6))
+
+
+def truth(value: Column) -> Column:
+    """A boolean from a boolean, a number or a word; null where it says neither."""
+    word = F.lower(F.trim(value.cast("string")))
+    return F.when(word.isin("true", "1", "yes", "on", "1.0"), True).when(word.isin("false", "0", "no", "off", "0.0"), False)
+
+
+def points(value: Column) -> Column:
+    """A length in points as a number; null where it is none."""
+    return F.regexp_replace(F.trim(value.cast("string")), r"(?i)\s*pt$", "").try_cast("double")
+
+
+def spacing_rule(value: Column) -> Column:
+    """single, multiple, exact or at_least in lower case; null for anything else."""
+    low = F.lower(value)
+    return F.when(low.isin("single", "multiple", "exact", "at_least"), low)
+
+
+def valid_color(color: Column) -> Column:
+    return color.rlike("^#[0-9A-Fa-f]{6}$")

@@ -47,6 +47,15 @@ class _Blocks(HTMLParser):
             self.text.append(data)
 
 
+def blocks_of(html: str | None) -> list[tuple[str, int, str, str]]:
+    """(element_type, heading_level, text, path) of each text block in order."""
+    parser = _Blocks()
+    parser.feed(html or "")
+    parser.close()
+    parser.flush()
+    return parser.rows
+
+
 def html_blocks(pages: DataFrame) -> DataFrame:
     """page_id, ord, element_type, heading_level, text, path of the text blocks of pages(page_id, html)."""
 
@@ -54,11 +63,7 @@ def html_blocks(pages: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for page, html in zip(batch.page_id, batch.html, strict=True):
-                parser = _Blocks()
-                parser.feed(html or "")
-                parser.close()
-                parser.flush()
-                out += [(page, i, *row) for i, row in enumerate(parser.rows)]
+                out += [(page, i, *row) for i, row in enumerate(blocks_of(html))]
             yield pd.DataFrame(out, columns=["page_id", "ord", "element_type", "heading_level", "text", "path"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").where("page_id is not null").mapInPandas(run, "page_id long, ord int, element_type string, heading_level int, text string, path string")

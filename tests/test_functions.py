@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.functions import fuzzy, numbering, style
+from quirefold.functions import fuzzy, numbering, position, register, style
 from quirefold.functions import text as tx
 from quirefold.functions.geometry import Box, center_inside, iou, overlap_of_smaller
 
@@ -95,3 +95,27 @@ def test_outline_levels(spark):
     level = lambda n, **k: one(spark, tx.outline_level(F.col("n"), **k), n=n)
     assert [level(n) for n in ("1.", "1.1", "1.1.", "1.1.1", "1")] == [1, 1, 2, 2, 0]
     assert [level(n, normalized=True) for n in ("1.", "1.1", "1.1.")] == [0, 1, 1]
+
+
+def test_tolerant_values(spark):
+    assert [one(spark, style.truth(F.col("v")), v=v) for v in ("Yes", "0", "maybe", "true")] == [True, False, None, True]
+    assert [one(spark, style.points(F.col("v")), v=v) for v in ("12pt", " 1.5 ", "x")] == [12.0, 1.5, None]
+    assert [one(spark, style.spacing_rule(F.col("v")), v=v) for v in ("At_Least", "other")] == ["at_least", None]
+    assert [one(spark, style.valid_color(style.with_hash(F.col("v"))), v=v) for v in ("ff00AA", "#12345")] == [True, False]
+
+
+def test_positions(spark):
+    place = position.position("pdf", (F.lit(3), F.lit(9)), page_number=F.col("p"))
+    row = one(spark, place, p=0)
+    assert row["document_type"] == "pdf" and row["pdf_position"]["page_number"] == 0 and row["html_position"] is None and row["text_position"]["end"] == 9
+    assert one(spark, position.pdf_page(place), p=0) == 1
+    with pytest.raises(ValueError):
+        position.position("html", page_number=F.lit(1))
+
+
+def test_names_for_sql(spark):
+    register.register(spark)
+    assert spark.sql("SELECT indel_ratio('abcd', 'abxd') AS r").collect()[0]["r"] == 75.0
+    rows = spark.sql("SELECT d.id, l.* FROM (SELECT 7 AS id, 'a\n \nb' AS t) d, LATERAL lines_of(d.t) l ORDER BY ord").collect()
+    assert [tuple(r) for r in rows] == [(7, 0, "a"), (7, 1, "b")]
+    assert spark.sql("SELECT text FROM html_blocks('<p>x</p>')").collect()[0]["text"] == "x"
