@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from spark.checkpoint.dir; set here only where unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"{tempfile.gettempdir()}/quirefold-shared"
+        found = tempfile.mkdtemp(prefix="quirefold-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -49,6 +52,13 @@ def drop_stash(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame, rows: int = 1_000_000, bytes_of: str | None = None, most: int = 32 << 20) -> DataFrame:
+    """The table, marked for broadcast if it has at most so many rows and its column `bytes_of` (else its rows, counted
+    as narrow) at most so many bytes in all. Larger tables are left to shuffle joins."""
+    n, total = df.agg(F.count("*"), F.sum(F.expr(bytes_of or "0"))).collect()[0]
+    return F.broadcast(df) if n <= rows and (total or 0) <= most else df
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small driver-made table as one JSON literal: stays in the JVM, no RDD of Python objects.
 

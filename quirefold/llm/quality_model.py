@@ -108,7 +108,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list
 
 def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
     """Learn quality from labelled rows outside the held-out fold; None if there are none."""
-    rows = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD)).select("doc_id", F.col("quality").cast("int").alias("label"))
+    rows = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD)).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("label"))  # of repeated labels the larger counts
     n = rows.count()
     if not n:
         return None

@@ -196,7 +196,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray | None]:
     """Lexicon and score weights from labelled rows outside the held-out fold, about MAX_TRAIN of them at most."""
-    rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD)).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))  # of repeated labels the larger counts
     n = rows.count()
     if not n:
         return Lexicon({t: 1.0 for t in INSULTS}, frozenset()), None

@@ -3,7 +3,8 @@
 An archive begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary, plain or itself a Zstandard
 frame; each record is a frame of its own, compressed with it. Archives are written by the tasks that hold the pages, to
 the shared folder through a file system that workers can open themselves; a manifest table lists them, so only archives
-of tasks that Spark committed are read, whatever was retried. Readers stream an archive frame by frame.
+of tasks that Spark committed are read, whatever was retried. Readers stream an archive frame by
+frame. Workers open the folder with `pyarrow.fs` (file, s3, gs, and hdfs where libhdfs is installed).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import fresh_path, stash
+from .common import fresh_path, small, stash
 
 #: Fixed values of the format.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -184,11 +185,10 @@ def write_pages(pages: DataFrame, folder: str) -> DataFrame:
     # Only digests that repeat come back, one row each; counting them is a partial aggregate.
     repeated = pages.where(size >= LEAST_REVISIT).select(digest.alias("digest"), "page_id").groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first_page"))
     repeated = stash(repeated.where("n > 1").select("digest", "first_page"), "repeated")
-    marked = pages.select("page_id", "url", "html").withColumn("digest", F.when(size >= LEAST_REVISIT, digest))
-    if repeated.count() <= 1_000_000:
-        marked = marked.join(F.broadcast(repeated), "digest", "left")  # 60 bytes a row, at most 1,000,000 rows
-    else:
-        marked = marked.join(repeated, "digest", "left")
+    # Pages that match nothing get keys of their own, so a shuffle join would not gather them.
+    own = F.concat(F.lit("page "), F.coalesce(F.col("page_id"), F.lit(0)).cast("string"))
+    marked = pages.select("page_id", "url", "html").withColumn("digest", F.when(size >= LEAST_REVISIT, digest).otherwise(own))
+    marked = marked.join(small(repeated), "digest", "left")  # 60 bytes a row
     refers = F.when(F.col("page_id") < F.col("first_page"), F.col("first_page")).when(F.col("page_id").isNull(), F.col("first_page"))
     rows = marked.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", refers.cast("long").alias("refers_to"))
 
