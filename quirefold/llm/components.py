@@ -10,6 +10,17 @@ from .common import drop_stash, stash
 MAX_ROUNDS = 40
 
 
+def _round(now: DataFrame) -> DataFrame:
+    # Large star: neighbours above a node move to the smallest node around it.
+    both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(now.where("a = b")).distinct()
+    # Small star: neighbours below a node, and the node, move to the smallest of them.
+    low = large.groupBy("a").agg(F.min("b").alias("m"))
+    down = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+    return down.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b); root is the smallest node of its component.
 
@@ -20,14 +31,7 @@ def connected(edges: DataFrame) -> DataFrame:
     now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(MAX_ROUNDS):
-        # Large star: neighbours above a node move to the smallest node around it.
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(now.where("a = b")).distinct()
-        # Small star: neighbours below a node, and the node, move to the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        down = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        following = stash(down.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).distinct(), "edges")
+        following = stash(_round(now), "edges")
         drop_stash(now)
         now, state = following, following.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).collect()[0]
         if state == before:

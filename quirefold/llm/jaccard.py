@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import stash
+from .common import small, stash
 from .components import connected
 
 SHINGLE = 4
@@ -211,6 +211,8 @@ def signed_groups(docs: DataFrame, n_parts: int) -> DataFrame:
                     held_sig, held_cls, n, seen = [], [], 0, set()
         if n:
             yield flush()
+        held_sig, held_cls = [], []
+        tx.tidy()
 
     def meet(table: pa.Table) -> pa.Table:
         whole = [np.frombuffer(x, np.int64).reshape(2, -1) for x in table.filter(pc.invert(table["edges"]))["data"].to_pylist()]
@@ -258,6 +260,8 @@ def _near_edges(table: pa.Table) -> pa.Table:
         rows = np.flatnonzero(np.repeat(buckets == width, sizes))
         _edges_at(every[rows], every_n[rows], stack([sketches[i] for i in rows], int(width)), sizes[buckets == width], edges)
     found = np.unique(np.concatenate([*edges, np.empty((0, 2), np.int64)]), axis=0)
+    del table, sketches
+    tx.tidy()
     return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
 
@@ -355,6 +359,8 @@ def _join_groups(table: pa.Table) -> pa.Table:
             a.append(int(cls[i]))
             b.append(int(cls[picked[r]]))
             at.append(int(region[i]))
+    del sets, table
+    tx.tidy()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "region": pa.array(at, pa.int64())})
 
 
@@ -366,11 +372,12 @@ def _joined(rows: DataFrame) -> DataFrame:
     return parted.groupBy("part").applyInArrow(_join_groups, "a long, b long, region long")
 
 
-def divide(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def divide(rows: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """One Voronoi division of rows(region, group, cls, data), which have LIMIT classes a group or more.
 
     Returns the rows of the new cells, and the rows of groups that pivots do not divide (their classes are so near
-    each other that they would be copied to most cells); both with `apart`, the distance to the cell's pivot.
+    each other that they would be copied to most cells); both with `apart`, the distance to the cell's pivot, and None
+    where there are none.
     """
     # A pivot is the class with the smallest hash in its residue: partial aggregates, no group in one task.
     drawn = rows.select("group", "cls", F.pmod("cls", F.lit(PIVOTS)).alias("residue"), F.xxhash64("cls", F.lit(11)).alias("draw"))
@@ -389,7 +396,7 @@ def divide(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 apart.append([distance(own, p) for p in known[group]])
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array(apart, pa.list_(pa.float64()))], ["region", "group", "cls", "data", "all"])
 
-    far = rows.join(pivots, "group").select("region", "group", "cls", "data", "pivots").mapInArrow(measure_all, "region long, group long, cls long, data binary, all array<double>")
+    far = rows.join(small(pivots, BROADCAST_ROWS, "aggregate(pivots, 0L, (s, p) -> s + octet_length(p))"), "group").select("region", "group", "cls", "data", "pivots").mapInArrow(measure_all, "region long, group long, cls long, data binary, all array<double>")
     near = F.array_min("all") + 2 * EPSILON + 1e-9
     cells = F.filter(F.transform("all", lambda d, q: F.struct(q.alias("q"), d.alias("d"))), lambda c: c["d"] <= near)
     far = stash(far.withColumn("cells", cells), "cells")
@@ -397,10 +404,12 @@ def divide(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = far.groupBy("group").agg(F.count("*").alias("of"))
     split = whole.join(sizes.groupBy("group").agg(F.sum("n").alias("copies"), F.max("n").alias("most")), "group")
     split = stash(split.select("group", ((F.col("copies") <= 4 * F.col("of")) & (F.col("most") <= 0.7 * F.col("of"))).alias("splits")), "split")
-    far = far.join(split, "group")
+    kinds = {r["splits"] for r in split.select("splits").distinct().collect()}
+    far = far.join(small(split, BROADCAST_ROWS), "group")
     at = far.where("splits").withColumn("cell", F.explode("cells"))
     new = at.select("region", F.xxhash64("group", "cell.q").alias("group"), "cls", "data", F.col("cell.d").alias("apart"))
-    return new, far.where("not splits").select("region", "group", "cls", "data", F.col("all")[0].alias("apart"))
+    whole = far.where("not splits").select("region", "group", "cls", "data", F.col("all")[0].alias("apart"))
+    return new if True in kinds else None, whole if False in kinds else None
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -409,7 +418,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     shell = F.floor(F.col("apart") / EPSILON).cast("int")
     pairs = rows.withColumn("shell", F.explode(F.array(shell, shell - 1)))
     sizes = pairs.groupBy("group", "shell").agg(F.count("*").alias("n"))
-    cut = pairs.join(sizes, ["group", "shell"]).withColumn("k", F.ceil(F.col("n") / (LIMIT // 2)).cast("int"))
+    cut = pairs.join(small(sizes, BROADCAST_ROWS), ["group", "shell"]).withColumn("k", F.ceil(F.col("n") / (LIMIT // 2)).cast("int"))
     cut = cut.withColumn("i", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("k")).cast("int"))
     cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     return cut.select("region", F.xxhash64("group", "shell", F.least("i", "j"), F.greatest("i", "j")).alias("group"), "cls", "data")
@@ -430,7 +439,6 @@ def linked_components(docs: DataFrame) -> DataFrame:
     regions = connected(edges)  # classes in a region of more than one
 
     members = stash(regions.withColumnRenamed("node", "cls").join(owners, "cls").select("cls", F.col("root").alias("region"), F.coalesce("doc", F.lit(-(2**63))).alias("key")), "members")
-    n_members = members.count()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -442,8 +450,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo).filter(pa.array(same)) for i in (1, 1, 0)] + [pa.array([s.tobytes() for s, ok in zip(found, same, strict=True) if ok], pa.binary())], ["region", "group", "cls", "data"])
 
     # Only rows of documents that stand for a class in some region are read again.
-    small = F.broadcast(members) if n_members <= BROADCAST_ROWS else members
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), "text").join(small, "key")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), "text").join(small(members, BROADCAST_ROWS), "key")
     rows = stash(texts.select("cls", "region", "text").mapInArrow(sets, "region long, group long, cls long, data binary").dropDuplicates(["cls"]), "sets")
 
     def by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -458,7 +465,11 @@ def linked_components(docs: DataFrame) -> DataFrame:
     if n_large:
         for _ in range(DEPTH):
             cells, whole = divide(large)
-            parts.append(_joined(_blocks(whole)))
+            if whole is not None:
+                parts.append(_joined(_blocks(whole)))
+            n_large = 0
+            if cells is None:
+                break
             fits, large, n_large = by_size(stash(cells, "cells"))
             parts.append(_joined(fits.select("region", "group", "cls", "data")))
             if not n_large:

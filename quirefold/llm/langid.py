@@ -21,7 +21,7 @@ from .common import held_out
 
 BITS, ORDERS = 16, 3
 #: Learned from: about so many rows at most, one in CALIBRATE of them for the temperature.
-MAX_TRAIN, CALIBRATE = 3000, 5
+MAX_TRAIN, CALIBRATE = 4000, 5
 FOLDS, FOLD = 4, 2
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 0.02, 0.05, 4, 30.0
 UNKNOWN = "und"
@@ -164,6 +164,8 @@ def fit(docs: DataFrame, learn_from: Column) -> Model | None:
         s = s - s.max(axis=1, keepdims=True)
         return float(-(s[np.arange(len(s)), truth] - np.log(np.exp(s).sum(axis=1))).mean())
 
+    del z, squares, bins, values, sample
+    tx.tidy()
     temperature = min(np.exp(np.linspace(np.log(0.2), np.log(5), 60)), key=loss) if apart else 1.0
     return Model(langs, (final[:size] * idf[:, None] * SCALE).astype(np.float32), final[size], float(temperature))
 

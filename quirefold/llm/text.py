@@ -7,6 +7,7 @@ touches each *distinct* word of a batch once, never each word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,15 @@ SLICE_BYTES = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def tidy() -> None:
+    """Give freed memory back before the worker idles until its next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not the GNU C library
+
+
 @dataclass
 class Words:
     """codes[starts[i]:starts[i+1]] are the words of text i, as indexes of vocab."""
