@@ -154,3 +154,26 @@ def test_provider_makes_its_instance_where_it_runs(spark):
                 yield batch.assign(text=batch.text.str.upper())[["text"]]
 
     assert [r["text"] for r in spans.provide(spark.createDataFrame([("a",)], "text string"), Upper).collect()] == ["A"]
+
+
+def test_titles_in_one_element_share_its_text(spark):
+    titles = spark.createDataFrame([(0, 0, "甲方", 0), (0, 1, "乙方", 0), (0, 2, "丙方", 2)], "doc_id long, title_idx int, title string, element_ord long")
+    rows = spark.createDataFrame([(0, 0, "甲方：张三 乙方：李四"), (0, 1, "next line"), (0, 2, "丙方")], "doc_id long, ord long, text string")
+    got = {r["title"]: r["content"] for r in sections.shared_contents(sections.contents(titles, rows), rows).collect()}
+    assert got == {"甲方": "张三", "乙方": "李四\nnext line", "丙方": ""}
+
+
+def test_snapshots_and_finished(spark):
+    rows = spark.createDataFrame([(1, 1, 0, "A"), (1, 2, 0, "A"), (1, 2, 1, "B"), (2, 1, 0, "C")], "doc_id long, snapshot int, title_idx int, title string")
+    last = sections.latest(rows)
+    assert sorted(r["title"] for r in last.collect()) == ["A", "B", "C"]
+    assert sorted(r["title"] for r in sections.finished(last, rows.where("doc_id = 2")).collect()) == ["A", "C"]
+
+
+def test_tables_of_elements_and_underlines(spark):
+    els = spark.createDataFrame([(0, 1, 5, 0.0, 0.0, 100.0, 100.0), (0, 1, 6, 0.0, 0.0, 5.0, 5.0)], BOX)
+    tabs = spark.createDataFrame([(0, 1, 1, 10.0, 10.0, 20.0, 20.0), (0, 1, 2, 30.0, 30.0, 40.0, 40.0)], BOX.replace("element_id", "table_id"))
+    assert {r["element_id"]: r["table_id"] for r in spatial.table_of_elements(els, tabs).collect()} == {5: 2, 6: None}
+    lines_ = spark.createDataFrame([(0, 1, 0, 0.0, 9.0, 90.0, 9.5), (0, 1, 1, 0.0, 60.0, 9.0, 60.0)], BOX.replace("element_id", "drawing_id"))
+    got = [(r["element_id"], r["d_drawing_id"], r["underscores"], r["is_horizontal"]) for r in spatial.nearby_underlines(els, lines_).collect()]
+    assert sorted(got) == [(5, 0, 11, True), (6, 0, 11, True)]
