@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from quirefold.llm import decontaminate, jaccard, langid, mixing, sharding
 from quirefold.llm.common import stash, table
 
-#: Predictions below this calibrated probability are rejected, as are texts without a letter.
-LEAST_LANGUAGE_SCORE = 0.5
+#: Predictions below this calibrated probability are rejected, as are texts without a letter. Texts that mix languages
+#: score from 0.4 up and are clean, so the limit lies below them.
+LEAST_LANGUAGE_SCORE = 0.4
 #: Lists of ids up to this many rows (16 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
