@@ -38,10 +38,10 @@ SHINGLE = 4
 #: Linked: PERCENT * union <= 100 * intersection.
 PERCENT = 85
 EPSILON = 1 - PERCENT / 100
-#: Classes in a region that one task joins, pivots per division, divisions before blocks.
-LIMIT, PIVOTS, DEPTH = 2048, 16, 2
+#: Classes and bytes of sets in a region that one task joins, pivots per division, divisions before blocks.
+LIMIT, LIMIT_BYTES, PIVOTS, DEPTH = 2048, 16 << 20, 16, 2
 #: Signatures, signature rows with sketches, and bytes of sets that one task gets.
-PART_SIGNATURES, PART_ROWS, PART_BYTES = 800_000, 100_000, 16 << 20
+PART_SIGNATURES, PART_ROWS, PART_BYTES = 500_000, 80_000, 6 << 20
 #: Larger groups of one signature are chained whole, first in tasks, then over all: they cost time, never links.
 LOCAL_GROUP, LARGEST_GROUP = 2048, 8192
 #: Least and most buckets of a sketch; a bucket has some 16 shingles between.
@@ -329,8 +329,11 @@ def forest(sets: list[np.ndarray]) -> list[int]:
             for column, k in enumerate(lists[at : at + 4096]):
                 held[owner[starts[k] : starts[k] + counts[k]], column] = 1
             common += (held * weight[at : at + 4096].astype(np.float32)) @ held.T
-    common = common.astype(np.int64)
-    linked = 100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common)
+    linked = np.empty((n, n), bool)
+    for lo in range(0, n, 256):  # in strips: the counts of a pair are whole numbers, but products need 64 bits
+        strip = common[lo : lo + 256].astype(np.float64)
+        linked[lo : lo + 256] = (100 + PERCENT) * strip >= PERCENT * (sizes[lo : lo + 256, None] + sizes[None, :])
+    del common
     root = np.full(n, -1)
     for i in range(n):
         if root[i] < 0:
@@ -417,8 +420,8 @@ def _blocks(rows: DataFrame) -> DataFrame:
     # Two linked rows lie in one shell or in neighbouring ones, so each row goes to its shell and to the one below.
     shell = F.floor(F.col("apart") / EPSILON).cast("int")
     pairs = rows.withColumn("shell", F.explode(F.array(shell, shell - 1)))
-    sizes = pairs.groupBy("group", "shell").agg(F.count("*").alias("n"))
-    cut = pairs.join(small(sizes, BROADCAST_ROWS), ["group", "shell"]).withColumn("k", F.ceil(F.col("n") / (LIMIT // 2)).cast("int"))
+    sizes = pairs.groupBy("group", "shell").agg(F.greatest(F.count("*") / (LIMIT // 2), F.sum(F.octet_length("data")) / (LIMIT_BYTES // 2)).alias("n"))
+    cut = pairs.join(small(sizes, BROADCAST_ROWS), ["group", "shell"]).withColumn("k", F.ceil("n").cast("int"))
     cut = cut.withColumn("i", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("k")).cast("int"))
     cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     return cut.select("region", F.xxhash64("group", "shell", F.least("i", "j"), F.greatest("i", "j")).alias("group"), "cls", "data")
@@ -454,7 +457,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     rows = stash(texts.select("cls", "region", "text").mapInArrow(sets, "region long, group long, cls long, data binary").dropDuplicates(["cls"]), "sets")
 
     def by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-        large = stash(rows.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > LIMIT).select("group"), "large")
+        large = stash(rows.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("data")).alias("b")).where((F.col("n") > LIMIT) | (F.col("b") > LIMIT_BYTES)).select("group"), "large")
         n = large.count()
         large = F.broadcast(large) if n <= BROADCAST_ROWS else large
         return rows.join(large, "group", "left_anti"), rows.join(large, "group", "left_semi"), n

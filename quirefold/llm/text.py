@@ -19,7 +19,7 @@ import xxhash
 #: Words are runs of anything but space and the ASCII controls tab to carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Bytes of text worked on at once; a single longer text is still taken whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
