@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,26 +103,16 @@ def suppress_overlaps(boxes: DataFrame, most: float = 0.9) -> DataFrame:
     """Boxes that survive greedy suppression on their page: in order of area, largest first, a box falls if more than
     `most` of the smaller of the two lies in common with a box already kept.
 
-    Greedy, so it folds over each page (never a document) in a task; ties of area go to the smaller element_id. A box
-    that falls does not suppress others. Boxless rows stay.
+    Greedy, so each page (never a document) is folded, by array functions in the JVM; ties of area go to the smaller
+    element_id. A box that falls does not suppress others. Boxless rows stay.
     """
-    kept = f"element_id long"  # noqa: F541
-    key = boxes.select(*PAGE, F.col("element_id").cast("long").alias("element_id"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]).where("x1 is not null")
-    types = {f.name: f.dataType.simpleString() for f in key.schema.fields}
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(area=(page.x2 - page.x1) * (page.y2 - page.y1)).sort_values(["area", "element_id"], ascending=[False, True])
-        x1, y1, x2, y2, area = (page[c].to_numpy() for c in ("x1", "y1", "x2", "y2", "area"))
-        keep: list[int] = []
-        for i in range(len(page)):
-            if keep:
-                wide = (x2[keep].clip(max=x2[i]) - x1[keep].clip(min=x1[i])).clip(min=0)
-                high = (y2[keep].clip(max=y2[i]) - y1[keep].clip(min=y1[i])).clip(min=0)
-                if (wide * high > most * area[keep].clip(max=area[i])).any() and area[i] > 0:
-                    continue
-            keep.append(i)
-        return page.iloc[keep][[*PAGE, "element_id"]]
-
-    schema = f"doc_id {types['doc_id']}, page_number {types['page_number']}, {kept}"
-    survivors = key.groupBy(*PAGE).applyInPandas(fold, schema)
+    corners = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    area = Box.of().area.cast("double")
+    one = F.struct((-area).alias("order"), F.col("element_id").alias("element_id"), *corners, area.alias("area"))
+    ranked = boxes.where("x1 is not null").groupBy(*PAGE).agg(F.array_sort(F.collect_list(one)).alias("boxes"))
+    side = lambda k, b, lo, hi: F.greatest(F.least(k[hi], b[hi]) - F.greatest(k[lo], b[lo]), F.lit(0.0))
+    hides = lambda k, b: (side(k, b, "x1", "x2") * side(k, b, "y1", "y2") > most * F.least(k["area"], b["area"])) & (b["area"] > 0)
+    none = F.array().cast(ranked.schema["boxes"].dataType)
+    kept = F.aggregate("boxes", none, lambda kept, b: F.when(F.exists(kept, lambda k: hides(k, b)), kept).otherwise(F.concat(kept, F.array(b))))
+    survivors = ranked.select(*PAGE, F.explode(kept).alias("box")).select(*PAGE, F.col("box.element_id").alias("element_id"))
     return boxes.join(survivors, [*PAGE, "element_id"], "left_semi").unionByName(boxes.where("x1 is null"))
