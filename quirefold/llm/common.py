@@ -30,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python in batches of at most so many rows, where the session keeps the default of 10,000.
+
+    Batches lie in an executor's memory outside its heap, at both ends, and texts are thousands of bytes each.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quirefold/{name}-{uuid.uuid4().hex}"
 

@@ -16,6 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from . import text as tx
+from .common import text_batches
 
 LEVEL = 3
 #: (bytes from, least ratio, most ratio) of compressed to plain size; shorter texts are not judged. Prose of some 1,000
@@ -89,6 +90,8 @@ def quality(docs: DataFrame) -> DataFrame:
     Repeated rows are judged each; an empty table gives an empty result; other columns are ignored.
     """
 
+    text_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
         for batch in batches:

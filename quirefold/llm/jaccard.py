@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import small, stash
+from .common import small, stash, text_batches
 from .components import connected
 
 SHINGLE = 4
@@ -435,6 +435,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     smallest doc_id reachable by links, null only where every id in reach is null. Repeated rows and repeated ids each
     give a row. An empty table gives an empty result.
     """
+    text_batches(docs.sparkSession)
     measured = stash(measure(docs), "measured")
     totals = measured.agg(F.sum("n_shingles").alias("n")).collect()[0]["n"] or 0
     owners = stash(measured.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "owners")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import held_out
+from .common import held_out, text_batches
 
 BITS, ORDERS = 16, 3
 #: Learned from: about so many rows at most, one in CALIBRATE of them for the temperature.
@@ -118,6 +118,7 @@ def _rows(docs: DataFrame, idf: np.ndarray) -> pa.Table:
 
 def fit(docs: DataFrame, learn_from: Column) -> Model | None:
     """Train on rows of `docs` (text, lang) for which learn_from holds; None if there are none."""
+    text_batches(docs.sparkSession)
     rows = docs.where(learn_from & F.col("text").isNotNull() & F.col("lang").isNotNull())
     n = rows.select("lang").count()
     if not n:
@@ -175,6 +176,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     Equal texts get equal results wherever they stand.
     """
+    text_batches(docs.sparkSession)
     names = docs.columns
     schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import held_out
+from .common import held_out, text_batches
 
 BITS, RANK = 15, 8
 #: Labelled rows learned from, at most about.
@@ -108,6 +108,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list
 
 def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
     """Learn quality from labelled rows outside the held-out fold; None if there are none."""
+    text_batches(docs.sparkSession)
     rows = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD)).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("label"))  # of repeated labels the larger counts
     n = rows.count()
     if not n:
@@ -137,6 +138,8 @@ def score(docs: DataFrame, model: Machine | None) -> DataFrame:
     A null text counts as empty, a null n_chars as 0. lang, source and doc_id are no inputs.
     """
 
+    text_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tx.as_strings(batch.column(1))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import held_out, stash
+from .common import held_out, stash, text_batches
 
 #: Fixed list: common insults.
 INSULTS = ("idiot", "moron", "imbecile", "stupid", "dumb", "loser", "scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown", "fool", "filth", "vermin", "bastard", "bitch", "asshole", "jerk", "creep", "retard", "whore", "slut")
@@ -196,6 +196,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray | None]:
     """Lexicon and score weights from labelled rows outside the held-out fold, about MAX_TRAIN of them at most."""
+    text_batches(docs.sparkSession)
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))  # of repeated labels the larger counts
     n = rows.count()
     if not n:
@@ -280,6 +281,8 @@ def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray | None) -> Data
     abuse and 0.05 without. Other columns are ignored.
     """
 
+    text_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, known = lexicon.automaton(), {}
         for batch in batches:

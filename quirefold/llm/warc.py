@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import fresh_path, small, stash
+from .common import fresh_path, small, stash, text_batches
 
 #: Fixed values of the format.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -180,6 +180,7 @@ def write_pages(pages: DataFrame, folder: str) -> DataFrame:
     Spark's committer, so archives that a lost attempt left behind are in no manifest.
     """
     spark = pages.sparkSession
+    text_batches(spark)
     size = F.coalesce(F.octet_length("html"), F.lit(0))
     digest = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
     # Only digests that repeat come back, one row each; counting them is a partial aggregate.
