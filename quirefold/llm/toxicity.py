@@ -15,11 +15,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .common import held_out, stash, text_batches
+from .common import held_out, text_batches
 
 #: Fixed list: common insults.
 INSULTS = ("idiot", "moron", "imbecile", "stupid", "dumb", "loser", "scum", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown", "fool", "filth", "vermin", "bastard", "bitch", "asshole", "jerk", "creep", "retard", "whore", "slut")
@@ -230,15 +230,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray | Non
                 yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), *[pa.array([v[k] for v in sums.values()], pa.int64()) for k in range(4)]], ["term", "n0", "t0", "n1", "t1"])
 
     sums = joined.select("text", "label", "half").mapInArrow(count, "term string, n0 long, t0 long, n1 long, t1 long")
-    sums = stash(sums.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")]), "terms")
+    counted = Observation()
+    sums = sums.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")]).observe(counted, F.count(F.lit(1)).alias("n"))
     base = (drawn.agg(F.avg("label")).collect()[0][0]) or 0.0
-    # So many toxic texts and no other are no accident among all the terms counted (some 20 may still be).
-    chance = math.log(max(2.0, sums.count() / 20)) / -math.log(min(max(base, 1e-3), 0.9))
-    least = max(LEAST_TOXIC, math.ceil(chance))
+    least = LEAST_TOXIC
     sure = lambda n, t: (t >= least) & ((t + 2 * base) / (n + 2) >= LEAST_SHARE)
     any_of = sure(F.col("n0"), F.col("t0")) | sure(F.col("n1"), F.col("t1")) | sure(F.col("n0") + F.col("n1"), F.col("t0") + F.col("t1"))
     top = sums.where(any_of).orderBy(F.desc(F.col("t0") + F.col("t1")), "term").limit(MAX_TERMS)  # a lexicon has a size
     rows = [tuple(r) for r in top.collect()]
+    # So many toxic texts and no other are no accident among all the terms counted (some 20 may still be).
+    chance = math.log(max(2.0, counted.get["n"] / 20)) / -math.log(min(max(base, 1e-3), 0.9))
+    least = max(LEAST_TOXIC, math.ceil(chance))
 
     def lexicon_of(*counts: tuple[str, int, int]) -> Lexicon:
         weights, stems = {t: 1.0 for t in INSULTS}, set()
