@@ -17,6 +17,8 @@ from quirefold.llm.common import stash, table
 LEAST_LANGUAGE_SCORE = 0.4
 #: Lists of ids up to this many rows (16 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Near copies share this percentage of their shingles of so many words.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
 def _by_id(docs: DataFrame, ids: DataFrame, how: str, *more: str) -> DataFrame:
@@ -39,7 +41,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked documents (rows that repeat that id stay with it; rows
     without an id and texts without words stay)."""
-    groups = jaccard.linked_components(docs)
+    groups = jaccard.linked_components(docs, NEAR_WIDTH, NEAR_PERCENT)
     return _by_id(docs, groups.where("doc_id != component_id").select("doc_id"), "left_anti")
 
 

@@ -1,6 +1,7 @@
 """Exact Jaccard join of shingle sets in metric space, down to components of linked documents.
 
-Two documents link when 100 * |x & y| >= 85 * |x | y|, a Jaccard distance of 0.15 at most.
+Two documents link when 100 * |x & y| >= percent * |x | y|; the figures below are those of the default of 85, a
+Jaccard distance of 0.15 at most.
 
 Unrelated documents are all at distance 1 from each other and from any pivot, so pivots alone would copy
 every document into every region. The join therefore begins with a coarse partition that loses no link, and
@@ -34,20 +35,23 @@ from . import text as tx
 from .common import small, stash, text_batches
 from .components import connected
 
+#: Words of a shingle, and linked: percent * union <= 100 * intersection. These are the contract of `op8_jaccard_join`;
+#: linked_components takes others.
 SHINGLE = 4
-#: Linked: PERCENT * union <= 100 * intersection.
 PERCENT = 85
-EPSILON = 1 - PERCENT / 100
 #: Classes and bytes of sets in a region that one task joins, pivots per division, divisions before blocks.
 LIMIT, LIMIT_BYTES, PIVOTS, DEPTH = 2048, 16 << 20, 16, 2
 #: Signatures, signature rows with sketches, and bytes of sets that one task gets.
 PART_SIGNATURES, PART_ROWS, PART_BYTES = 500_000, 80_000, 6 << 20
 #: Larger groups of one signature are chained whole, first in tasks, then over all: they cost time, never links.
 LOCAL_GROUP, LARGEST_GROUP = 2048, 8192
-#: Least and most buckets of a sketch; a bucket has some 16 shingles between.
+#: Least and most buckets of a sketch.
 LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
 #: Rows up to which a lookup table of ids is broadcast (24 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: (from percent, shingles a bucket of a sketch has between, step of levels in percent). The lower the limit, the larger
+#: the differences that sketches must tell from those of unrelated sets, and the fewer shingles a hash range has.
+PRUNING = ((85, 16, 170), (0, 4, 135))
 _ODD = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -73,22 +77,27 @@ def digest(found: np.ndarray) -> int:
     return total - (1 << 64) if total >= 1 << 63 else total
 
 
+def pruning(percent: int) -> tuple[int, int]:
+    """Shingles a bucket and step of levels for a limit."""
+    return next(p[1:] for p in PRUNING if percent >= p[0])
+
+
 @lru_cache(maxsize=None)
-def level_of(differences: int) -> tuple[int, int]:
+def level_of(differences: int, percent: int = PERCENT) -> tuple[int, int]:
     """(most differences of the level, number of hash ranges) for a pair that differs in so many shingles."""
-    cap = 1
+    cap, step = 1, pruning(percent)[1]
     while cap < differences:
-        cap = max(cap + 1, cap * 17 // 10)
+        cap = max(cap + 1, cap * step // 100)
     return cap, cap + 1 + (cap + 1) // 12
 
 
 @lru_cache(maxsize=4096)
-def levels(size: int) -> tuple[tuple[int, int], ...]:
+def levels(size: int, percent: int = PERCENT) -> tuple[tuple[int, int], ...]:
     """Levels at which a set of this size may meet a linked, unequal set."""
-    least, most = -(-PERCENT * size // 100), 100 * size // PERCENT
-    differ = lambda other: (100 - PERCENT) * (size + other) // (100 + PERCENT)
+    least, most = -(-percent * size // 100), 100 * size // percent
+    differ = lambda other: (100 - percent) * (size + other) // (100 + percent)
     lo, hi = max(1, differ(least)), differ(most)
-    return tuple(sorted({level_of(d) for d in range(lo, hi + 1)})) if hi >= lo else ()
+    return tuple(sorted({level_of(d, percent) for d in range(lo, hi + 1)})) if hi >= lo else ()
 
 
 @lru_cache(maxsize=4096)
@@ -96,7 +105,7 @@ def range_bounds(ranges: int) -> np.ndarray:
     return np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
 
 
-def signatures(found: np.ndarray) -> list[np.ndarray]:
+def signatures(found: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
     """Signatures of a sorted set, one array for each of its levels.
 
     A range with fewer than two shingles is weak: unrelated texts share it by chance. Weak ranges stay out unless
@@ -107,7 +116,7 @@ def signatures(found: np.ndarray) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         mixed = (found ^ (found >> np.uint64(33))) * _ODD
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed ^ (mixed >> np.uint64(32)), dtype=np.uint64)])
-        for cap, ranges in levels(len(found)):
+        for cap, ranges in levels(len(found), percent):
             at = np.concatenate([[0], np.searchsorted(found, range_bounds(ranges)), [len(found)]])
             signs = sums[at[1:]] - sums[at[:-1]]
             signs = (signs ^ np.uint64(ranges)) * tx._MIX + np.arange(ranges, dtype=np.uint64) * _ODD
@@ -117,12 +126,12 @@ def signatures(found: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def sketch(found: np.ndarray) -> bytes:
+def sketch(found: np.ndarray, percent: int = PERCENT) -> bytes:
     """Shingles per bucket, modulo 256; buckets are a power of two and halve by adding neighbours.
 
     The sum of circular differences of two sketches of one length is at most |x ^ y|.
     """
-    bits = min(MOST_BUCKETS, max(LEAST_BUCKETS, len(found) // 16)).bit_length() - 1
+    bits = min(MOST_BUCKETS, max(LEAST_BUCKETS, len(found) // pruning(percent)[0])).bit_length() - 1
     with np.errstate(over="ignore"):
         bucket = ((found ^ (found >> np.uint64(32))) * _ODD) >> np.uint64(64 - bits)
     return np.bincount(bucket.astype(np.int64), minlength=1 << bits).astype(np.uint8).tobytes()
@@ -139,14 +148,14 @@ def stack(sketches: list[bytes], buckets: int) -> np.ndarray:
     return out
 
 
-def measure(docs: DataFrame) -> DataFrame:
+def measure(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, class and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = tx.as_strings(batch.column(1))
             for lo, hi in tx.slices(column):
-                n, cls, kept = zip(*[(len(s), digest(s), sketch(s)) for s in shingle_sets(column.slice(lo, hi - lo))], strict=True)
+                n, cls, kept = zip(*[(len(s), digest(s), sketch(s, percent)) for s in shingle_sets(column.slice(lo, hi - lo), width)], strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cls long, sketch binary")
@@ -171,7 +180,7 @@ def _chain(cls: np.ndarray, starts: np.ndarray, sizes: np.ndarray, large: np.nda
     return np.unique(np.concatenate(edges), axis=0) if edges else np.empty((0, 2), np.int64)
 
 
-def signed_groups(docs: DataFrame, n_parts: int) -> DataFrame:
+def signed_groups(docs: DataFrame, n_parts: int, width: int, percent: int) -> DataFrame:
     """Members (sig, a) of the signatures that several classes have, and edges (a, b) of the groups chained whole."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,12 +206,12 @@ def signed_groups(docs: DataFrame, n_parts: int) -> DataFrame:
         for batch in batches:
             column = tx.as_strings(batch.column(0))
             for lo, hi in tx.slices(column):
-                for found in shingle_sets(column.slice(lo, hi - lo)):
+                for found in shingle_sets(column.slice(lo, hi - lo), width):
                     cls = digest(found)
                     if cls in seen or not len(found):
                         continue
                     seen.add(cls)
-                    for signs in signatures(found):
+                    for signs in signatures(found, percent):
                         held_sig.append(signs)
                         held_cls.append(np.full(len(signs), cls, np.int64))
                         n += len(signs)
@@ -232,10 +241,10 @@ def signed_groups(docs: DataFrame, n_parts: int) -> DataFrame:
     return packed.groupBy("part").applyInArrow(meet, "sig long, a long, b long")
 
 
-def _maybe_linked(sizes: np.ndarray, kept: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _maybe_linked(sizes: np.ndarray, kept: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Can the pairs (i, j) link, by sizes and sketches? Exact in that it never denies a link."""
     a, b = sizes[i], sizes[j]
-    ok = 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
+    ok = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
     out = np.zeros(len(i), bool)
     near = np.flatnonzero(ok)
     step = max(1, (1 << 24) // kept.shape[1])
@@ -243,11 +252,11 @@ def _maybe_linked(sizes: np.ndarray, kept: np.ndarray, i: np.ndarray, j: np.ndar
         k = near[lo : lo + step]
         gap = kept[i[k]] - kept[j[k]]
         gap = np.minimum(gap, np.negative(gap)).sum(axis=1, dtype=np.int64)
-        out[k] = (100 + PERCENT) * gap <= (100 - PERCENT) * (a[k] + b[k])
+        out[k] = (100 + percent) * gap <= (100 - percent) * (a[k] + b[k])
     return out
 
 
-def _near_edges(table: pa.Table) -> pa.Table:
+def _near_edges(table: pa.Table, percent: int) -> pa.Table:
     """Edges that chain members of equal signature which may link: rows sig, cls, n, sketch -> a, b."""
     table = table.sort_by("sig")
     sig, every, every_n = (table[c].to_numpy() for c in ("sig", "cls", "n"))
@@ -258,21 +267,21 @@ def _near_edges(table: pa.Table) -> pa.Table:
     edges = []
     for width in np.unique(buckets):  # the sketches of a group are brought to its shortest
         rows = np.flatnonzero(np.repeat(buckets == width, sizes))
-        _edges_at(every[rows], every_n[rows], stack([sketches[i] for i in rows], int(width)), sizes[buckets == width], edges)
+        _edges_at(every[rows], every_n[rows], stack([sketches[i] for i in rows], int(width)), sizes[buckets == width], edges, percent)
     found = np.unique(np.concatenate([*edges, np.empty((0, 2), np.int64)]), axis=0)
     del table, sketches
     tx.tidy()
     return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
 
-def _edges_at(cls: np.ndarray, n: np.ndarray, kept: np.ndarray, sizes: np.ndarray, edges: list[np.ndarray]) -> None:
+def _edges_at(cls: np.ndarray, n: np.ndarray, kept: np.ndarray, sizes: np.ndarray, edges: list[np.ndarray], percent: int) -> None:
     """Append the edges of adjacent groups of these sizes."""
     starts = np.cumsum(sizes) - sizes
     for size in np.unique(sizes[sizes <= 16]):
         i, j = np.triu_indices(size, 1)
         at = starts[sizes == size][:, None]
         i, j = (at + i).ravel(), (at + j).ravel()
-        ok = _maybe_linked(n, kept, i, j)
+        ok = _maybe_linked(n, kept, i, j, percent)
         edges.append(np.stack([cls[i[ok]], cls[j[ok]]], axis=1))
     for at, size in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
         # A spanning forest is enough: rows not yet reached are tried from each row reached.
@@ -281,18 +290,22 @@ def _edges_at(cls: np.ndarray, n: np.ndarray, kept: np.ndarray, sizes: np.ndarra
             front, rest = rest[:1], rest[1:]
             while len(front) and len(rest):
                 one, front = front[0], front[1:]
-                ok = _maybe_linked(n, kept, np.full(len(rest), one), rest)
+                ok = _maybe_linked(n, kept, np.full(len(rest), one), rest, percent)
                 edges.append(np.stack([cls[rest[ok]], np.full(ok.sum(), cls[one])], axis=1))
                 front, rest = np.concatenate([front, rest[ok]]), rest[~ok]
 
 
-def chained(docs: DataFrame, owners: DataFrame, n_parts: int) -> DataFrame:
+def chained(docs: DataFrame, owners: DataFrame, n_parts: int, width: int, percent: int) -> DataFrame:
     """Edges (a, b) whose components hold every link."""
-    groups = stash(signed_groups(docs, n_parts), "groups")
+
+    def near_edges(table: pa.Table) -> pa.Table:
+        return _near_edges(table, percent)
+
+    groups = stash(signed_groups(docs, n_parts, width, percent), "groups")
     members = groups.where("b is null").select("sig", F.col("a").alias("cls"))
-    n_parts = max(12, math.ceil(members.count() / PART_ROWS))
+    n_parts = max(12, math.ceil(members.count() / (PART_ROWS * pruning(percent)[0] / 16)))
     members = members.join(owners.select("cls", "n", "sketch"), "cls").withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(n_parts)).cast("int"))
-    near = members.select("part", "sig", "cls", "n", "sketch").groupBy("part").applyInArrow(_near_edges, "a long, b long")
+    near = members.select("part", "sig", "cls", "n", "sketch").groupBy("part").applyInArrow(near_edges, "a long, b long")
     return near.union(groups.where("b is not null").select("a", "b"))
 
 
@@ -301,7 +314,7 @@ def distance(x: np.ndarray, y: np.ndarray) -> float:
     return 1 - both / (len(x) + len(y) - both)
 
 
-def forest(sets: list[np.ndarray]) -> list[int]:
+def forest(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
     """For each set the index of the first set of its component; joins all pairs exactly."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -332,7 +345,7 @@ def forest(sets: list[np.ndarray]) -> list[int]:
     linked = np.empty((n, n), bool)
     for lo in range(0, n, 256):  # in strips: the counts of a pair are whole numbers, but products need 64 bits
         strip = common[lo : lo + 256].astype(np.float64)
-        linked[lo : lo + 256] = (100 + PERCENT) * strip >= PERCENT * (sizes[lo : lo + 256, None] + sizes[None, :])
+        linked[lo : lo + 256] = (100 + percent) * strip >= percent * (sizes[lo : lo + 256, None] + sizes[None, :])
     del common
     root = np.full(n, -1)
     for i in range(n):
@@ -346,7 +359,7 @@ def forest(sets: list[np.ndarray]) -> list[int]:
     return root.tolist()
 
 
-def _join_groups(table: pa.Table) -> pa.Table:
+def _join_groups(table: pa.Table, percent: int) -> pa.Table:
     """Spanning forests of the links in each group of a part: rows group, cls, data -> a, b, region."""
     table = table.sort_by([("group", "ascending"), ("cls", "ascending")])
     groups = table["group"].to_numpy()
@@ -358,7 +371,7 @@ def _join_groups(table: pa.Table) -> pa.Table:
         own = cls[lo:hi]
         keep = np.concatenate([[True], own[1:] != own[:-1]])  # a class may come home and as a replica
         picked = np.flatnonzero(keep) + lo
-        for i, r in zip(picked, forest([sets[k] for k in picked]), strict=True):
+        for i, r in zip(picked, forest([sets[k] for k in picked], percent), strict=True):
             a.append(int(cls[i]))
             b.append(int(cls[picked[r]]))
             at.append(int(region[i]))
@@ -367,15 +380,19 @@ def _join_groups(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "region": pa.array(at, pa.int64())})
 
 
-def _joined(rows: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, percent: int) -> DataFrame:
     """Exact join inside each group of rows(region, group, cls, data)."""
+
+    def join_groups(table: pa.Table) -> pa.Table:
+        return _join_groups(table, percent)
+
     total = rows.agg(F.sum(F.octet_length("data"))).collect()[0][0] or 0
     n_parts = max(12, math.ceil(total / PART_BYTES))
     parted = rows.withColumn("part", F.pmod(F.xxhash64("group", F.lit(7)), F.lit(n_parts)).cast("int"))
-    return parted.groupBy("part").applyInArrow(_join_groups, "a long, b long, region long")
+    return parted.groupBy("part").applyInArrow(join_groups, "a long, b long, region long")
 
 
-def divide(rows: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+def divide(rows: DataFrame, epsilon: float) -> tuple[DataFrame | None, DataFrame | None]:
     """One Voronoi division of rows(region, group, cls, data), which have LIMIT classes a group or more.
 
     Returns the rows of the new cells, and the rows of groups that pivots do not divide (their classes are so near
@@ -400,7 +417,7 @@ def divide(rows: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array(apart, pa.list_(pa.float64()))], ["region", "group", "cls", "data", "all"])
 
     far = rows.join(small(pivots, BROADCAST_ROWS, "aggregate(pivots, 0L, (s, p) -> s + octet_length(p))"), "group").select("region", "group", "cls", "data", "pivots").mapInArrow(measure_all, "region long, group long, cls long, data binary, all array<double>")
-    near = F.array_min("all") + 2 * EPSILON + 1e-9
+    near = F.array_min("all") + 2 * epsilon + 1e-9
     cells = F.filter(F.transform("all", lambda d, q: F.struct(q.alias("q"), d.alias("d"))), lambda c: c["d"] <= near)
     far = stash(far.withColumn("cells", cells), "cells")
     sizes = far.select("group", F.explode("cells.q").alias("q")).groupBy("group", "q").agg(F.count("*").alias("n"))
@@ -415,10 +432,10 @@ def divide(rows: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     return new if True in kinds else None, whole if False in kinds else None
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, epsilon: float) -> DataFrame:
     """Groups that stay large: shells of distance to the pivot, and pairs of hashed blocks within neighbouring shells."""
     # Two linked rows lie in one shell or in neighbouring ones, so each row goes to its shell and to the one below.
-    shell = F.floor(F.col("apart") / EPSILON).cast("int")
+    shell = F.floor(F.col("apart") / epsilon).cast("int")
     pairs = rows.withColumn("shell", F.explode(F.array(shell, shell - 1)))
     sizes = pairs.groupBy("group", "shell").agg(F.greatest(F.count("*") / (LIMIT // 2), F.sum(F.octet_length("data")) / (LIMIT_BYTES // 2)).alias("n"))
     cut = pairs.join(small(sizes, BROADCAST_ROWS), ["group", "shell"]).withColumn("k", F.ceil("n").cast("int"))
@@ -427,19 +444,21 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return cut.select("region", F.xxhash64("group", "shell", F.least("i", "j"), F.greatest("i", "j")).alias("group"), "cls", "data")
 
 
-def linked_components(docs: DataFrame) -> DataFrame:
+def linked_components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text; other columns are ignored).
 
-    A document's set holds the distinct 4-word shingles of its whole text; a shorter text is one shingle; a null or
+    A document's set holds the distinct shingles of `width` words of its whole text; a shorter text is one shingle; a null or
     wordless text has the empty set and links with nothing, so its component is its own id. component_id is the
     smallest doc_id reachable by links, null only where every id in reach is null. Repeated rows and repeated ids each
     give a row. An empty table gives an empty result.
     """
+    epsilon = 1 - percent / 100
     text_batches(docs.sparkSession)
-    measured = stash(measure(docs), "measured")
+    measured = stash(measure(docs, width, percent), "measured")
     totals = measured.agg(F.sum("n_shingles").alias("n")).collect()[0]["n"] or 0
     owners = stash(measured.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "owners")
-    edges = chained(docs, owners, max(12, math.ceil(0.3 * totals / PART_SIGNATURES)))
+    share = 0.02 * (100 - percent)  # signatures a shingle, about
+    edges = chained(docs, owners, max(12, math.ceil(share * totals / PART_SIGNATURES)), width, percent)
     regions = connected(edges)  # classes in a region of more than one
 
     members = stash(regions.withColumnRenamed("node", "cls").join(owners, "cls").select("cls", F.col("root").alias("region"), F.coalesce("doc", F.lit(-(2**63))).alias("key")), "members")
@@ -449,7 +468,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
             column = tx.as_strings(batch.column(2))
             for lo, hi in tx.slices(column):
                 want = batch.column(0).slice(lo, hi - lo).to_pylist()
-                found = list(shingle_sets(column.slice(lo, hi - lo)))
+                found = list(shingle_sets(column.slice(lo, hi - lo), width))
                 same = [digest(s) == c for s, c in zip(found, want, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo).filter(pa.array(same)) for i in (1, 1, 0)] + [pa.array([s.tobytes() for s, ok in zip(found, same, strict=True) if ok], pa.binary())], ["region", "group", "cls", "data"])
 
@@ -464,22 +483,22 @@ def linked_components(docs: DataFrame) -> DataFrame:
         return rows.join(large, "group", "left_anti"), rows.join(large, "group", "left_semi"), n
 
     fits, large, n_large = by_size(rows)
-    done = [stash(_joined(fits), "forest")]
+    done = [stash(_joined(fits, percent), "forest")]
     parts = []
     if n_large:
         for _ in range(DEPTH):
-            cells, whole = divide(large)
+            cells, whole = divide(large, epsilon)
             if whole is not None:
-                parts.append(_joined(_blocks(whole)))
+                parts.append(_joined(_blocks(whole, epsilon), percent))
             n_large = 0
             if cells is None:
                 break
             fits, large, n_large = by_size(stash(cells, "cells"))
-            parts.append(_joined(fits.select("region", "group", "cls", "data")))
+            parts.append(_joined(fits.select("region", "group", "cls", "data"), percent))
             if not n_large:
                 break
         if n_large:
-            parts.append(_joined(_blocks(large)))
+            parts.append(_joined(_blocks(large, epsilon), percent))
         found = parts[0]
         for more in parts[1:]:
             found = found.union(more)

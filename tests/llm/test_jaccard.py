@@ -104,3 +104,31 @@ def test_components(spark):
     edges = [(i, i - 1) for i in range(1, 60)] + [(100, 101), (200, 200)] + [(300 + i, 300) for i in range(1, 40)]
     got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(60)} | {100: 100, 101: 100, 200: 200} | {300 + i: 300 for i in range(40)}
+
+
+def test_width_and_percent(spark):
+    """A copy with a fifth more words links at 5 words and 80, not at 4 words and 85; all pairs decide both."""
+    words = [f"v{i}" for i in range(120)]
+    rows = [(1, " ".join(words[:100])), (2, " ".join(words[:120])), (3, " ".join(f"u{i}" for i in range(100)))]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.linked_components(docs, 5, 80).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.linked_components(docs).collect()} == {1: 1, 2: 2, 3: 3}
+
+
+@pytest.mark.parametrize("tiny", [False, True])
+def test_equals_all_pairs_at_other_limits(spark, monkeypatch, tiny):
+    if tiny:
+        for name, value in (("LIMIT", 4), ("DEPTH", 2), ("PIVOTS", 3), ("LOCAL_GROUP", 5), ("LARGEST_GROUP", 7), ("BROADCAST_ROWS", 0)):
+            monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(4, groups=15, size=16)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.linked_components(spark.createDataFrame(rows, DOCS), 5, 80).collect()}
+    sets = {}
+    for i, text in rows:
+        words = text.lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    want = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:  # the smallest id moves along the links
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want and len(set(want.values())) < len(want)

@@ -88,3 +88,9 @@ def test_registered():
     assert [n for n in queries.QUERIES if n.startswith("op")] and set(oracles.ORACLES) <= set(queries.QUERIES)
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
     assert langid.UNKNOWN == "und" and F is not None
+
+
+def test_near_copies_between_the_limits_go(spark):
+    words = [f"v{i}" for i in range(120)]
+    docs = spark.createDataFrame([(1, " ".join(words[:100]), "en", "a", 1), (2, " ".join(words), "en", "a", 1), (3, "other words", "en", "a", 1)], SCHEMA)
+    assert sorted(r["doc_id"] for r in cp.near_duplicates(spark, docs, "").collect()) == [1, 3]
