@@ -2,7 +2,8 @@
 
 The lexicon is a short list of common insults plus words and word stems that labelled rows show to be toxic. All terms
 form one trie; walking it and the Levenshtein automata of its terms together gives a deterministic automaton, built
-state by state as words ask for it, that accepts a word within the term's edit distance. Each hit is then judged in
+state by state as words ask for it, that accepts a word within the term's edit distance, or one that begins within a
+stem's. Near hits of learned terms are a feature of their own, so their weight is what labelled rows bear out. Each hit is then judged in
 its window: inside quotation marks or after a reporting verb it is quotation, else abuse. A logistic regression over the
 hits of a whole text gives the score.
 """
@@ -32,6 +33,8 @@ MAX_TRAIN, FOLDS, FOLD, THRESHOLD = 12_000, 4, 2, 0.3
 #: Learned terms: most, least toxic texts that hold one, least share of toxic ones; stem lengths.
 MAX_TERMS, LEAST_TOXIC, LEAST_SHARE, STEMS = 4000, 4, 0.7, (4, 5, 6, 7)
 WINDOW = 6
+#: Trie nodes that the states of an automaton may hold before it starts again.
+MOST_HELD = 2_000_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$!") + "“”„«»‘’…–—"
 _QUOTES = frozenset("\"“”„«»")
 
@@ -62,9 +65,13 @@ class Automaton:
     members: list[frozenset] = field(default_factory=list)
     moves: list[dict[str, int]] = field(default_factory=list)
     accepts: list[tuple[str, int] | None] = field(default_factory=list)
+    begins: dict[int, tuple[str, int]] = field(default_factory=dict)  # last node of a stem -> (stem, allowed distance)
+    prefixes: list[list[tuple[int, str]]] = field(default_factory=list)
+    held: int = 0
 
     def __post_init__(self) -> None:
-        for term, most in sorted(self.terms.items()):
+        near = {s: edits(s) for s in self.stems if edits(s)}  # exact stems are looked up
+        for term, most, ends in [*((t, n, self.ends) for t, n in sorted(self.terms.items())), *((t, n, self.begins) for t, n in sorted(near.items()))]:
             node = 0
             self.reach[0] = max(self.reach[0], most)
             for c in term:
@@ -74,7 +81,7 @@ class Automaton:
                     self.reach.append(0)
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], most)
-            self.ends[node] = (term, most)
+            ends[node] = (term, most)
         self._state({(0, 0)})
 
     def _state(self, now: set[tuple[int, int]]) -> int:
@@ -94,12 +101,16 @@ class Automaton:
             self.moves.append({})
             found = [(used, self.ends[node][0]) for node, used in key if node in self.ends and used <= self.ends[node][1]]
             self.accepts.append(min(found)[::-1] if found else None)
+            self.prefixes.append(sorted((used, self.begins[node][0]) for node, used in key if node in self.begins and used <= self.begins[node][1]))
+            self.held += len(key)
         return self.states[key]
 
     def _move(self, state: int, c: str) -> int:
         following: set[tuple[int, int]] = set()
         for node, used in self.members[state]:
             following.add((node, used + 1))
+            if node in self.begins and used <= self.begins[node][1]:
+                following.add((node, used))  # whatever follows a stem
             for letter, child in self.children[node].items():
                 following.add((child, used + (letter != c)))
         to = self._state({x for x in following if x[1] <= self.reach[x[0]]})
@@ -107,17 +118,26 @@ class Automaton:
         return to
 
     def find(self, word: str) -> tuple[str, int] | None:
-        """(term, distance) of the nearest term, or of a stem that the word begins with."""
+        """(term, distance) of a stem that the word begins with, else of the nearest term or stem."""
         for n in STEMS:
             if word[:n] in self.stems and len(word) > n:
                 return word[:n], 0
+        if self.held > MOST_HELD:
+            for kept in (self.states, self.members, self.moves, self.accepts, self.prefixes):
+                kept.clear()
+            self.held = 0
+            self._state({(0, 0)})
         state = 0
         for c in word:
             to = self.moves[state].get(c)
             state = self._move(state, c) if to is None else to
             if not self.members[state]:
                 return None
-        return self.accepts[state]
+        found = self.accepts[state]
+        for used, stem in self.prefixes[state]:
+            if len(word) > len(stem):
+                return (stem, used) if found is None or used < found[1] else found
+        return found
 
 
 @dataclass
@@ -127,10 +147,10 @@ class Lexicon:
     insults: frozenset[str] = frozenset(INSULTS)
 
     def automaton(self) -> Automaton:
-        return Automaton({t: edits(t) if t in self.insults else 0 for t in self.weights if t not in self.stems}, self.stems)
+        return Automaton({t: edits(t) for t in self.weights if t not in self.stems}, self.stems)
 
 
-FEATURES = 9
+FEATURES = 10
 
 
 def features(texts: pa.Array, lexicon: Lexicon, machine: Automaton, known: dict[str, tuple]) -> np.ndarray:
@@ -157,15 +177,20 @@ def features(texts: pa.Array, lexicon: Lexicon, machine: Automaton, known: dict[
         own = places[owner == i] - lo
         quotes = np.fromiter((sum(c in _QUOTES for c in vocab[k]) for k in codes), np.int64, len(codes)) if any(c in _QUOTES for c in texts[i].as_py()) else None
         opened = np.cumsum(quotes) if quotes is not None else None
-        abuse = quoted = near = exact = 0.0
-        strongest, distinct, address = 0.0, set(), 0
+        abuse = quoted = near = exact = guessed = 0.0
+        strongest, distinct, address, sure = 0.0, set(), 0, 0
         for at in own:
             term, distance = hits[int(codes[at])]
             weight = lexicon.weights.get(term, 1.0)
+            guess = distance > 0 and term not in lexicon.insults
+            sure += not guess
             before = [fold(vocab[k]) for k in codes[max(0, at - WINDOW) : at]]
             inside = opened is not None and (opened[at] % 2 == 1 or quotes[at] > 0)
             if inside or any(w in REPORTING for w in before):
-                quoted += 1
+                quoted += not guess
+                continue
+            if guess:
+                guessed += weight
                 continue
             distinct.add(term)
             strongest = max(strongest, weight)
@@ -176,7 +201,7 @@ def features(texts: pa.Array, lexicon: Lexicon, machine: Automaton, known: dict[
                 exact += weight
             else:
                 abuse += weight
-        out[i] = (1.0, np.log1p(exact), np.log1p(abuse), np.log1p(near), np.log1p(quoted), np.log1p(len(distinct)), strongest, np.log1p(100 * len(own) / max(1, hi - lo)), np.log1p(address))
+        out[i] = (float(sure > 0), np.log1p(exact), np.log1p(abuse), np.log1p(near), np.log1p(quoted), np.log1p(len(distinct)), strongest, np.log1p(100 * sure / max(1, hi - lo)), np.log1p(address), np.log1p(guessed))
     return out
 
 

@@ -123,3 +123,13 @@ def test_nothing_to_learn(spark):
     empty = spark.createDataFrame([], DOCS)
     assert langid.identify(empty).count() == 0
     assert quality_model.score(empty, None).count() == 0
+
+
+def test_learned_terms_and_stems_are_found_misspelt():
+    lexicon = toxicity.Lexicon({"schurke": 0.8, "dreckig": 0.8, "übel": 0.9}, frozenset({"dreckig"}))
+    machine = lexicon.automaton()
+    words = ("schurke", "schurk", "schrke", "dreckiger", "drekciger", "dreckger", "drckiger", "dreckig", "übe", "haus")
+    got = [machine.find(w) for w in words]
+    assert got == [("schurke", 0), ("schurke", 1), ("schurke", 1), ("dreckig", 0), None, ("dreckig", 1), ("dreckig", 1), None, None, None]
+    x = toxicity.features(pa.array(["du schrke hier", "das drckiger haus", "er sagte schrke"]), lexicon, machine, {})
+    assert x[0][9] > 0 and x[1][9] > 0 and not x[2].any() and not x[:, :9].any()
