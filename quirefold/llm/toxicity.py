@@ -4,13 +4,14 @@ The lexicon is a short list of common insults plus words and word stems that lab
 form one trie; walking it and the Levenshtein automata of its terms together gives a deterministic automaton, built
 state by state as words ask for it, that accepts a word within the term's edit distance, or one that begins within a
 stem's. Near hits of learned terms are a feature of their own, so their weight is what labelled rows bear out. Each hit is then judged in
-its window: inside quotation marks or after a reporting verb it is quotation, else abuse. A logistic regression over the
+its window: between quotation marks of its line or after a reporting verb it is quotation, else abuse. A logistic regression over the
 hits of a whole text gives the score.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,9 +34,13 @@ MAX_TRAIN, FOLDS, FOLD, THRESHOLD = 12_000, 4, 2, 0.3
 #: Learned terms: most, least toxic texts that hold one, least share of toxic ones; stem lengths.
 MAX_TERMS, LEAST_TOXIC, LEAST_SHARE, STEMS = 4000, 4, 0.7, (4, 5, 6, 7)
 WINDOW = 6
+#: Words between a hit and each of the marks that quote it, at most.
+QUOTE_SPAN = 40
 #: Trie nodes that the states of an automaton may hold before it starts again.
 MOST_HELD = 2_000_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "@$!") + "“”„«»‘’…–—"
+_SPACE = "\x20\t\n\x0b\x0c\r"
+_GAP = re.compile(tx.WORD_GAP)
 _QUOTES = frozenset("\"“”„«»")
 
 
@@ -153,6 +158,19 @@ class Lexicon:
 FEATURES = 10
 
 
+def quoted_words(text: str, words: list[str]) -> frozenset[int]:
+    """Places of the words that stand between two quotation marks of one line, QUOTE_SPAN words from each at most. A mark
+    without a partner in its line, as for inches, quotes nothing."""
+    out, at = set(), 0
+    for line in text.split("\n"):
+        n = len(_GAP.sub(" ", line).split(" ")) - (line[:1] in _SPACE) - (line[-1:] in _SPACE) if line.strip(_SPACE) else 0
+        marks = [k for k in range(at, at + n) for c in words[k] if c in _QUOTES]
+        for first, last in zip(marks[::2], marks[1::2], strict=False):
+            out.update(k for k in range(first, last + 1) if k - first <= QUOTE_SPAN and last - k <= QUOTE_SPAN)
+        at += n
+    return frozenset(out)
+
+
 def features(texts: pa.Array, lexicon: Lexicon, machine: Automaton, known: dict[str, tuple]) -> np.ndarray:
     """Features of each text of a null-free array, zero without a hit; `known` caches words."""
     found = tx.words(texts)
@@ -164,7 +182,7 @@ def features(texts: pa.Array, lexicon: Lexicon, machine: Automaton, known: dict[
     for k, word in enumerate(vocab):
         hit = known.get(word, 0)
         if hit == 0:
-            hit = known[word] = machine.find(fold(word)) if len(word) < 64 else None
+            hit = known[word] = machine.find(fold(word))
         if hit is not None:
             marks[k] = True
             hits[k] = hit
@@ -175,8 +193,8 @@ def features(texts: pa.Array, lexicon: Lexicon, machine: Automaton, known: dict[
         lo, hi = found.starts[i], found.starts[i + 1]
         codes = found.codes[lo:hi]
         own = places[owner == i] - lo
-        quotes = np.fromiter((sum(c in _QUOTES for c in vocab[k]) for k in codes), np.int64, len(codes)) if any(c in _QUOTES for c in texts[i].as_py()) else None
-        opened = np.cumsum(quotes) if quotes is not None else None
+        text = texts[i].as_py()
+        quoted_at = quoted_words(text, [vocab[k] for k in codes]) if any(c in _QUOTES for c in text) else frozenset()
         abuse = quoted = near = exact = guessed = 0.0
         strongest, distinct, address, sure = 0.0, set(), 0, 0
         for at in own:
@@ -185,8 +203,7 @@ def features(texts: pa.Array, lexicon: Lexicon, machine: Automaton, known: dict[
             guess = distance > 0 and term not in lexicon.insults
             sure += not guess
             before = [fold(vocab[k]) for k in codes[max(0, at - WINDOW) : at]]
-            inside = opened is not None and (opened[at] % 2 == 1 or quotes[at] > 0)
-            if inside or any(w in REPORTING for w in before):
+            if int(at) in quoted_at or any(w in REPORTING for w in before):
                 quoted += not guess
                 continue
             if guess:
@@ -241,8 +258,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray | Non
                 found = tx.words(column.slice(lo, hi - lo))
                 vocab = [fold(w) for w in found.vocab.to_pylist()]
                 for i in range(hi - lo):
-                    own = {vocab[k] for k in np.unique(found.codes[found.starts[i] : found.starts[i + 1]])}
-                    own = {w for w in own if 3 < len(w) < 40}
+                    codes = found.codes[found.starts[i] : found.starts[i + 1]]
+                    text = column[lo + i].as_py()
+                    if any(c in _QUOTES for c in text):  # what is quoted says nothing about a term
+                        spelt = found.vocab.take(pa.array(codes)).to_pylist()
+                        codes = np.delete(codes, sorted(quoted_words(text, spelt)))
+                    own = {vocab[k] for k in np.unique(codes)}
+                    own = {w for w in own if len(w) > 3}
                     own |= {w[:k] + "*" for w in own for k in STEMS if len(w) > k}
                     at, toxic = 2 * half[lo + i], bool(label[lo + i])
                     for term in own:
@@ -270,10 +292,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray | Non
     def lexicon_of(*counts: tuple[str, int, int]) -> Lexicon:
         weights, stems = {t: 1.0 for t in INSULTS}, set()
         for term, n, toxic in sorted(counts, key=lambda x: (len(x[0].rstrip("*")), x[0])):
-            word = term.rstrip("*")
-            if not sure(n, toxic) or any(word[:k] in stems for k in STEMS):
-                continue  # too rare, or a shorter stem says it already
-            if term.endswith("*"):
+            word, is_stem = term.rstrip("*"), term.endswith("*")
+            said = [word[:k] for k in STEMS if k < len(word) and word[:k] in stems]
+            # Too rare, or a shorter stem says it already: for stems one that may be misspelt, else words keep their own edits.
+            if not sure(n, toxic) or (any(edits(s) for s in said) if is_stem else said and not edits(word)):
+                continue
+            if is_stem:
                 stems.add(word)
             weights[word] = max(weights.get(word, 0.0), (toxic + 2 * base) / (n + 2) * toxic / (toxic + 4))
         return Lexicon(weights, frozenset(stems))

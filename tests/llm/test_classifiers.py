@@ -133,3 +133,56 @@ def test_learned_terms_and_stems_are_found_misspelt():
     assert got == [("schurke", 0), ("schurke", 1), ("schurke", 1), ("dreckig", 0), None, ("dreckig", 1), ("dreckig", 1), None, None, None]
     x = toxicity.features(pa.array(["du schrke hier", "das drckiger haus", "er sagte schrke"]), lexicon, machine, {})
     assert x[0][9] > 0 and x[1][9] > 0 and not x[2].any() and not x[:, :9].any()
+
+
+def area(scores, truth):
+    """Share of pairs of a toxic and another text that the score orders rightly."""
+    pairs = [(a > b) + (a == b) / 2 for a, t in zip(scores, truth) if t for b, u in zip(scores, truth) if not u]
+    return sum(pairs) / len(pairs)
+
+
+def test_edits_and_context_raise_the_held_out_area(spark, monkeypatch):
+    """Held-out toxic texts misspell the terms; texts that are not toxic quote them."""
+    draw = random.Random(12)
+    terms = ["gralmok", "thubrezz", "vindorak", "skalpritt", "mozzelgub", "plontrash"]
+    plain = ["".join(draw.choice("aeiou") + draw.choice("bdfglmnprst") for _ in range(draw.randrange(2, 4))) for _ in range(400)]
+
+    def slip(word):
+        at = draw.randrange(1, len(word) - 1)
+        return draw.choice([word[:at] + word[at + 1 :], word[:at] + draw.choice("aeiou") + word[at:], word[:at] + draw.choice("bdfg") + word[at + 1 :]])
+
+    docs, labels = [], []
+    for i in range(900):
+        held, words, kind = zlib.crc32(str(i).encode()) % 4 == 2, [draw.choice(plain) for _ in range(30)], draw.random()
+        toxic = kind < 0.25
+        if toxic:
+            words[12] = slip(draw.choice(terms)) if held or draw.random() < 0.4 else draw.choice(terms)
+        elif kind < 0.33:
+            words[12] = '"' + (slip(draw.choice(terms)) if draw.random() < 0.5 else draw.choice(terms)) + '"'
+        docs.append((i, " ".join(words), None, 1))
+        labels.append((i, 1, int(toxic)))
+    docs, table = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    truth = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 4 == 2}
+
+    def held_out_area():
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, *toxicity.learn(docs, table)).collect()}
+        return area([got[i] for i in truth], list(truth.values()))
+
+    whole = held_out_area()
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "edits", lambda term: 0)
+        without_edits = held_out_area()
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "quoted_words", lambda text, words: frozenset())
+        without_context = held_out_area()
+    assert whole > 0.95 and without_edits < whole - 0.1 and without_context < whole - 0.02, (whole, without_edits, without_context)
+
+
+def test_quotations_and_long_words():
+    words = ['five', '15"', 'wide', 'idiot', '"an', 'idiot"', 'idiot']
+    assert toxicity.quoted_words(' five 15" wide\n idiot "an idiot"\n\nidiot', words) == {4, 5}
+    far = ['"a'] + ["b"] * 100 + ['c"']
+    assert toxicity.quoted_words(" ".join(far), far) == frozenset()
+    lexicon = toxicity.Lexicon({"idiot": 1.0}, frozenset())
+    x = toxicity.features(pa.array(["you idiot" + "!" * 90, "x" * 200_000, ""]), lexicon, lexicon.automaton(), {})
+    assert x[0].any() and not x[1].any() and not x[2].any()
