@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import functions as F
 
 from quirefold.llm import compression, licenses
@@ -48,9 +49,31 @@ def test_measures_and_bands(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == want
         assert not (r["kept"] and r["base_failed"])
     assert [got[i, base(t)[0]]["kept"] for i, t in rows if i in (1, 2, 9, 10)] == [True, False, True, True, False]
+    packer = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+    for i, text in rows:
+        data, r = (text or "").encode(), got[i, base(text)[0]]
+        size = lambda b: len(packer.compress(b)) / len(b)
+        ends = sorted({min(len(data), e) for e in range(2000, len(data) + 2000, 2000)}) if len(data) > 2000 else []
+        outside = sum(not compression.CHUNK_BAND[0] <= size(data[e - 2000 : e]) <= compression.CHUNK_BAND[1] for e in ends)
+        whole = size(data) if data else 1.0
+        least, most = [b[1:] for b in compression.BANDS if b[0] <= len(data)][-1]
+        assert (r["n_chunks"], r["n_chunks_outside"]) == (len(ends), outside) and abs(r["ratio"] - whole) < 1e-12
+        assert r["kept"] == (not base(text)[5] and least <= whole <= most and outside <= compression.CHUNK_SHARE * len(ends))
     assert compression.quality(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_noise_and_repeats_fall_at_every_length_and_prose_stays():
+    packer = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+    keeps = lambda b: compression.verdict(len(b), *compression.ratios(b, packer))
+    draw = random.Random(6)
+    for n in (220, 320, 420, 600, 900, 1500, 2300, 2999, 9000, 50_000):
+        noise = " ".join(base64.b64encode(draw.randbytes(9)).decode() for _ in range(n // 13 + 1))[:n].encode()
+        assert not keeps(noise) and not keeps((b"again and again " * (n // 16 + 1))[:n])
+        assert keeps(prose(n, n)[:n].encode())
+        if 2000 < n < 16_000:
+            assert not keeps(prose(n, n)[: n - 1900].encode() + noise[:1900])  # noise in the last piece
+
+
 def test_window_ids_are_exact():
     draw = np.random.default_rng(0)
     codes = draw.integers(0, 1 << 40, 50)[draw.integers(0, 50, 4000)]
@@ -67,6 +90,14 @@ def test_words():
     assert got == [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
 
 
+def test_long_licences(spark):
+    texts = dict(reversed(licenses._files()))  # of each the whole text
+    noisy = lambda text: "Copyright 2020 Some One\n\n" + re.sub(r"\bLICENSE\b", "LICENCE", text.upper()).replace("\n", "\n   ").replace(",", " ;")
+    rows = [(k, noisy(text)) for k, text in enumerate(texts.values())] + [(k + 100, text + " and more") for k, text in enumerate(texts.values())] + [(200, "word " * 400_000)]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(texts) == 13 and [got[k] for k in range(13)] == list(texts) and all(got[k] is None for k in got if k >= 100)
+
+
 def test_licences(spark):
     mit = licenses.KNOWN[0][1]
     noisy = "MIT License\n\nCopyright (c) 2020 Some One\n  (C) 2021 Another\n" + mit.replace("sublicense", "sub-licence").upper().replace(" ", "   ")
