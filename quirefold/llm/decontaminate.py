@@ -6,8 +6,9 @@ Jaccard similarity of 0.8 or more with it over 5-word shingles, each weighted by
 1. Windows. Moving a window that does not begin with a shingle of the item one word on never lowers its similarity, so
    the best window begins at a shingle that the item holds: only those get fingerprints, and none is missed.
 2. Fingerprints. 64-bit SimHash of the window's shingles, weighted by their occurrences.
-3. Search. Fingerprints are cut into RADIUS + 1 blocks; any within RADIUS bits of an item's agree with it in a block, so
-   an equi-join on blocks finds all of them.
+3. Search. Fingerprints are cut into RADIUS + 1 blocks; any within RADIUS bits of an item's agree with it in a block.
+   Blocks of three bits alone would select little, but the window's first shingle is one of the item's: the index has a
+   row for each shingle, length and block of an item, and an equi-join on all three finds every fingerprint in radius.
 4. Verification. Exact weighted similarity of what was found.
 
 Words are runs of letters and digits, lower-cased. Items of fewer than five words have no shingle and match nothing.
@@ -71,38 +72,53 @@ def _common(a: Column, b: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words) of the best window for each document and item it leaks.
 
-    Ties go to the first window. Null texts match nothing. Rows that repeat a doc_id (or lack one) are reported under it
-    together. Empty tables give an empty result. Other columns are ignored.
+    Ties go to the first window that begins with a shingle of the item. Null and empty texts, and texts or items of fewer
+    than SHINGLE words, match nothing; long texts are searched whole. Rows that repeat a doc_id (or lack one) are
+    reported under it together, items that repeat an item_id each under it. doc_id may be of any type that can be
+    grouped. Empty tables give an empty result. Other columns are ignored.
     """
     items = benchmark.select("item_id", word_list(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE).select("item_id", shingle_list(F.col("w")).alias("item"))
     items = stash(items.withColumns({"n": F.size("item"), "item_fp": fingerprint("item")}), "items")
     sought = items.select(F.explode("item").alias("h"), "n").distinct()
-    small = sought.count() <= BROADCAST_SHINGLES
+    small_items = sought.count() <= BROADCAST_SHINGLES
 
     # Texts of fewer words explode to nothing; a filter here would split every text twice.
     read = docs.select("doc_id", word_list(F.col("text")).alias("w"))
-    places = read.select("doc_id", "w", F.explode(F.when(F.size("w") >= SHINGLE, F.sequence(F.lit(0), F.size("w") - SHINGLE))).alias("start"))
-    if small:
-        begun = places.withColumn("h", _at(F.col("w"), F.col("start"))).join(F.broadcast(sought), "h")
+    spots = F.explode(F.when(F.size("w") >= SHINGLE, F.sequence(F.lit(0), F.size("w") - SHINGLE))).alias("start")
+    if small_items:
+        begun = read.select("doc_id", "w", spots).withColumn("h", _at(F.col("w"), F.col("start"))).join(F.broadcast(sought), "h")
     else:
-        # Narrow rows meet the shingles; the places found go back to their documents.
-        key = F.xxhash64("doc_id", "w")
-        narrow = places.select(key.alias("key"), "start", _at(F.col("w"), F.col("start")).alias("h")).join(sought, "h").select("key", "start", "n").distinct()
-        begun = read.withColumn("key", key).join(narrow, "key")
-    begun = begun.select("doc_id", "start", "n", F.slice("w", F.col("start") + 1, F.col("n") + SHINGLE - 1).alias("w"))
-    windows = begun.select("doc_id", "start", "n", shingle_list(F.col("w")).alias("found"))
-    windows = stash(windows.withColumn("fp", fingerprint("found")), "windows")  # written, so that no plan computes a fingerprint twice
+        # Narrow rows meet the shingles; the places found go back to their documents. A document's key is made once.
+        read = read.withColumn("key", F.xxhash64("doc_id", "w"))
+        narrow = read.select("key", "w", spots).select("key", "start", _at(F.col("w"), F.col("start")).alias("h")).join(sought, "h").select("key", "start", "h", "n").distinct()
+        begun = read.join(narrow, "key")
+    begun = begun.select("doc_id", "start", "h", "n", F.slice("w", F.col("start") + 1, F.col("n") + SHINGLE - 1).alias("w"))
+    windows = begun.select("doc_id", "start", "h", "n", shingle_list(F.col("w")).alias("found"))
+    windows = windows.withColumns({"fp": fingerprint("found"), "window": F.monotonically_increasing_id()})
+    windows = stash(windows, "windows")  # written, so that no plan computes a fingerprint twice, and the numbers stay
 
     keyed = lambda rows, fp: rows.select("*", F.posexplode(block_keys(F.col(fp))).alias("block", "bits"))
-    one = keyed(windows.where(F.col("n") <= LONGEST), "fp")
-    other = keyed(items.where(F.col("n") <= LONGEST), "item_fp")
+    index = items.where(F.col("n") <= LONGEST).select("item_id", "n", "item_fp", F.explode(F.array_distinct("item")).alias("h"))
     differs = F.col("fp").bitwiseXOR(F.col("item_fp"))
     masks = F.array(*[F.lit(((1 << bits) - 1) << lo if lo + bits < 64 else (((1 << bits) - 1) << lo) - (1 << 64)) for lo, bits in _blocks()])
     first = F.array_position(F.transform(masks, lambda m: differs.bitwiseAND(m) == 0), True) - 1
-    near = one.join(F.broadcast(other) if small else other, ["n", "block", "bits"]).where((F.bit_count(differs) <= RADIUS) & (first == F.col("block")))
-    pairs = near.select("doc_id", "start", "found", "item_id", "item", "n")
+    broadcast = index.count() * (RADIUS + 1) <= BROADCAST_SHINGLES
+    index = keyed(index, "item_fp")
+
+    def near(rows: DataFrame) -> DataFrame:
+        met = keyed(rows.where(F.col("n") <= LONGEST), "fp").join(F.broadcast(index) if broadcast else index, ["h", "n", "block", "bits"])
+        return met.where((F.bit_count(differs) <= RADIUS) & (first == F.col("block")))
+
+    columns = ("doc_id", "start", "found", "item_id")
+    if broadcast:
+        pairs = near(windows).select(*columns)
+    else:  # narrow rows are shuffled; windows come back by number
+        pairs = near(windows.select("window", "h", "n", "fp")).select("window", "item_id").join(windows, "window").select(*columns)
     if items.where(F.col("n") > LONGEST).count():
-        pairs = pairs.union(windows.where(F.col("n") > LONGEST).join(items, "n").select(*pairs.columns))
+        long = items.where(F.col("n") > LONGEST).select("item_id", "n", F.explode(F.array_distinct("item")).alias("h"))
+        pairs = pairs.union(windows.where(F.col("n") > LONGEST).join(long, ["h", "n"]).select(*columns))
+    whole = items.select("item_id", "item")
+    pairs = pairs.join(F.broadcast(whole) if small_items else whole, "item_id")
     checked = pairs.select("*", F.explode(F.array(_common(F.col("found"), F.col("item")))).alias("both"))  # once a pair
     checked = checked.withColumn("similarity", F.col("both") / (F.size("found") + F.size("item") - F.col("both"))).where(F.col("similarity") >= SIMILARITY)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), F.size("found").alias("n"))).alias("best")

@@ -173,14 +173,15 @@ OP6 = f"""
 WITH items AS (
   SELECT item_id, g AS item, len(g) AS n FROM (SELECT item_id, {_GRAMS} AS g FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)) WHERE len(g) > 0
 ), docs AS (SELECT doc_id, {_GRAMS} AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents)
-), places AS (SELECT doc_id, unnest(g) AS h, unnest(range(1, len(g) + 1)) AS pos FROM docs WHERE len(g) > 0
-), begun AS (SELECT DISTINCT p.doc_id, p.pos, i.item_id FROM places p JOIN (SELECT item_id, unnest(item) AS h FROM items) i USING (h)
+), places AS (SELECT doc_id, len(g) AS m, unnest(g) AS h, unnest(range(1, len(g) + 1)) AS pos FROM docs WHERE len(g) > 0
+), shared AS (SELECT DISTINCT p.doc_id, p.m, p.pos, i.item_id, i.n FROM places p JOIN (SELECT item_id, n, unnest(item) AS h FROM items) i USING (h)
+), spots AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(greatest(1, pos - n + 1), pos + 1)) AS pos FROM shared
 ), windows AS (
-  SELECT b.doc_id, b.pos, b.item_id, i.item, d.g[b.pos : b.pos + i.n - 1] AS found FROM begun b JOIN items i USING (item_id) JOIN docs d USING (doc_id)
+  SELECT b.doc_id, b.pos, b.item_id, i.item, d.g[b.pos : b.pos + i.n - 1] AS found FROM spots b JOIN items i USING (item_id) JOIN docs d USING (doc_id)
 ), scored AS (
   SELECT *, list_sum(list_transform(list_distinct(item), lambda x: least(len(list_filter(item, lambda y: y = x)), len(list_filter(found, lambda y: y = x))))) AS common FROM windows
 ), near AS (SELECT *, CAST(common AS DOUBLE) / (len(found) + len(item) - common) AS similarity FROM scored
-), best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, pos) AS k FROM near WHERE similarity >= 0.8)
+), best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, list_contains(item, found[1]) DESC, pos) AS k FROM near WHERE similarity >= 0.8)
 SELECT doc_id, item_id, similarity, CAST(pos - 1 AS BIGINT) AS start_word, CAST(len(found) + 4 AS BIGINT) AS n_words FROM best WHERE k = 1
 """
 

@@ -82,3 +82,13 @@ def test_fingerprint(spark):
 def test_blocks_find_every_fingerprint_within_the_radius():
     cut = dc._blocks()
     assert sum(b for _, b in cut) == 64 and len(cut) == dc.RADIUS + 1
+
+
+def test_index_selects(spark, sf_dir, monkeypatch):
+    """Of the pairs of a window and an item of its length the index meets a small part, by broadcast and by shuffle alike."""
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(tuple, dc.leaks(docs, items).collect()))
+    monkeypatch.setattr(dc, "BROADCAST_SHINGLES", 0)
+    assert want and sorted(map(tuple, dc.leaks(docs, items).collect())) == want
+    monkeypatch.setattr(dc, "LONGEST", 1)  # every item skips the search and is verified at once
+    assert sorted(map(tuple, dc.leaks(docs, items).collect())) == want
