@@ -6,8 +6,9 @@ where the first ends. Ordering all documents of all sources by finish time inter
 proportion to their targets; the mix is that order cut where the total budget is spent.
 
 How it runs: prefix sums are split in hash ranges within each source (4,096 of them), so a source that
-holds most rows is not one task; finish times are range-partitioned into fixed slots of virtual time, and
-only the slot in which the budget ends is sorted to the row. `mixed` repeats whole rows and range-sorts.
+holds most rows is not one task (rows without an id share a hash, so they are split by size too); finish times are range-partitioned into fixed slots of virtual time, the slot in
+which the budget ends is cut into slots again until it is small, and only that is sorted to the row, which gives the
+row at which a global sort would be truncated. `mixed` range-sorts the rows of the mix by finish time.
 """
 
 from __future__ import annotations
@@ -26,23 +27,25 @@ EPOCHS = 2
 #: Hash ranges within a source, and slots of virtual time in one unit.
 RANGES = 4096
 SLOTS = 8192
+#: Rows of a slot that one task sorts.
+LAST_ROWS = 100_000
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _keyed(docs: DataFrame, size: Column) -> DataFrame:
-    """Adds __size, __src (no nulls), __key (shuffle order) and __range."""
-    key = F.md5(F.concat(F.lit("mix-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return docs.withColumns(
-        {
-            "__size": size,
-            "__src": F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), F.col("source"))),
-            "__key": key,
-            "__id": F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"),
-        }
-    ).withColumn("__range", F.substring("__key", 1, 3))
+def _keyed(docs: DataFrame, whole_rows: bool) -> DataFrame:
+    """doc_id, source, __size, __src (no nulls), __key (shuffle order), __id, __tie and __range of each row, and the row
+    itself as __row if asked for: nothing of the table keeps its own name, so no name can clash."""
+    hashed = lambda value: F.md5(F.concat(F.lit("mix-"), value).cast("binary"))
+    source = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), F.col("source")))
+    row = [F.struct("*").alias("__row")] if whole_rows else []
+    keyed = docs.select(*row, "doc_id", "source", word_count(F.col("text")).alias("__size"), source.alias("__src"), hashed(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("__key"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("__id"), F.xxhash64("text").alias("__tie"))
+    # Ranges keep the order of (key, id, size). All rows without an id have one key, and a range for each size.
+    none = hashed(F.lit(""))
+    inside = F.when(F.col("__key") < none, "0").when(F.col("__key") > none, "2").otherwise(F.concat(F.lit("1"), F.lpad(F.col("__size").cast("string"), 20, "0")))
+    return keyed.withColumn("__range", F.concat(F.substring("__key", 1, 3), F.when(F.substring("__key", 1, 3) == F.substring(none, 1, 3), inside).otherwise("")))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, halves: int = BUDGET_HALVES) -> DataFrame:
@@ -72,14 +75,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, halves:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, halves: int = BUDGET_HALVES, whole_rows: bool = False) -> DataFrame:
     """Every row of `docs` with its place in the mix.
 
-    Columns: those of `docs` (without whole_rows only doc_id and source), then __size, source_size, target,
-    __f1 and __f2 (finish times of its two epochs, null for size 0), __first and __second (is it taken?).
-    Null or wordless texts have size 0 and are never taken. Null sources form one source, last in order.
-    Null ids share a place in the shuffle. Repeated rows are documents of their own. An empty table gives an
-    empty result.
+    Columns: doc_id and source (with whole_rows also the whole row as the struct __row), then __size, __source_size,
+    __target, __f1 and __f2 (finish times of its two epochs, null for size 0), __first and __second (is it taken?).
+    Null or wordless texts have size 0 and are never taken; long texts count whole. Null sources form one source, last
+    in order. Rows with equal ids, or without one, come by size, then by their texts. Repeated rows are documents of
+    their own. Other columns are left alone, whatever their names. An empty table gives an empty result.
     """
-    keyed = _keyed(docs, word_count(F.col("text")))
-    narrow = stash(keyed.select("doc_id", "source", "__size", "__src", "__key", "__id", "__range"), "mix")
+    narrow = stash(_keyed(docs, False), "mix")
 
     # Partial sums before any shuffle: a hot source costs one row per task and range.
     ranges = narrow.groupBy("__src", "__range").agg(F.sum("__size").alias("in_range"), F.first("source").alias("source"))
@@ -91,7 +93,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, halves: int = BUDGE
 
     def timed(rows: DataFrame) -> DataFrame:
         """Rows with both finish times; one shuffle, shared by the window and the join."""
-        here = Window.partitionBy("__src", "__range").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, 0)
+        here = Window.partitionBy("__src", "__range").orderBy("__key", "__id", "__size", "__tie").rowsBetween(Window.unboundedPreceding, 0)
         served = F.col("__before") + F.col("__served")
         return (
             rows.withColumn("__served", F.sum("__size").over(here))
@@ -110,25 +112,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, halves: int = BUDGE
     budget, spent, last = halves * sum(n for _, n in filled) // EPOCHS, 0, -1  # twice the words of the mix
     for slot, n in filled:
         last = slot
-        if 2 * (spent + n) > budget:
+        if 2 * (spent + n) > budget or slot == filled[-1][0]:
             break
         spent += n
+    inside = entries.where(F.col("slot") == last)
+    while True:  # a slot that is too large for a task is cut into slots of its own
+        n, lo, hi = inside.agg(F.count("*"), F.min("at.f"), F.max("at.f")).collect()[0]
+        if n <= LAST_ROWS or lo == hi:
+            break
+        part = F.least(F.floor((F.col("at.f") - lo) / (hi - lo) * SLOTS), F.lit(SLOTS - 1)).cast("int")
+        filled, at = sorted((r["part"], r["n"]) for r in inside.groupBy(part.alias("part")).agg(F.sum("__size").alias("n")).collect()), -1
+        for at, more in filled:
+            if 2 * (spent + more) > budget:
+                break
+            spent += more if at != filled[-1][0] else 0
+        inside = inside.where(part == at)
     order = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    inside = entries.where(F.col("slot") == last).withColumn("upto", F.sum("__size").over(order) + spent)
-    cut = inside.where(F.col("upto") * 2 <= budget).agg(F.max("at").alias("at")).collect()[0]["at"]
+    upto = inside.withColumn("upto", F.sum("__size").over(order) + spent)
+    start, cut = upto.agg(F.min("at"), F.max(F.when(F.col("upto") * 2 <= budget, F.col("at")))).collect()[0]
+    literal = lambda at: F.struct(F.lit(at["f"]).alias("f"), F.lit(at["s"]).alias("s"), F.lit(at["k"]).alias("k"), F.lit(at["i"]).cast("long").alias("i"), F.lit(at["e"]).alias("e"))
     if cut is not None:
-        bound = F.struct(F.lit(cut["f"]).alias("f"), F.lit(cut["s"]).alias("s"), F.lit(cut["k"]).alias("k"), F.lit(cut["i"]).cast("long").alias("i"), F.lit(cut["e"]).alias("e"))
-        within = lambda f, epoch: entry(f, epoch) <= bound
+        within = lambda f, epoch: entry(f, epoch) <= literal(cut)
+    elif start is not None:
+        within = lambda f, epoch: entry(f, epoch) < literal(start)
     else:
-        within = lambda f, epoch: slot_of(F.col(f)) < last
+        within = lambda f, epoch: F.lit(False)
     taken = lambda f, epoch: (F.col("__size") > 0) & F.coalesce(within(f, epoch), F.lit(False))
-    return timed(keyed if whole_rows else narrow).withColumns({"__first": taken("__f1", 1), "__second": taken("__f2", 2)})
+    return timed(_keyed(docs, True) if whole_rows else narrow).withColumns({"__first": taken("__f1", 1), "__second": taken("__f2", 2)})
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of `docs`: each taken row once for each epoch it is taken in, in
-    order of virtual finish time."""
+    """The mix itself, with the columns of `docs`, whatever their names: each taken row once for each epoch it is taken
+    in, in order of virtual finish time (rows of one time in any order). Rows are as in `mix`."""
     out = mix(docs, whole_rows=True, **options)
     both = F.filter(F.array(F.when(F.col("__first"), F.col("__f1")), F.when(F.col("__second"), F.col("__f2"))), lambda t: t.isNotNull())
-    rows = out.where("__first or __second").select(*docs.columns, F.explode(both).alias("__at"))
-    return rows.repartitionByRange(F.col("__at")).sortWithinPartitions("__at").select(*docs.columns)
+    rows = out.where("__first or __second").select("__row", F.explode(both).alias("__at"))
+    return rows.repartitionByRange(F.col("__at")).sortWithinPartitions("__at").select("__row.*")

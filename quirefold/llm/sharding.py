@@ -8,17 +8,18 @@ moves fewer documents and lets counts differ by up to that share.
 
 How it runs: one narrow aggregation counts documents per arc (at most shards x points rows, whatever the
 input), the driver walks those counts around the ring twice, and the walk's segments join back to the
-documents' ranks within their arcs. Arcs are fine-grained hash ranges, so no task holds a shard.
+documents' ranks within their arcs. Ranks come from one global range sort of narrow rows, not from windows over arcs,
+so neither a shard nor the rows without an id, or with one id, are one task.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import literal_table, utf8_bytes
+from .common import literal_table, stash, utf8_bytes
 
 #: Ring positions are the first four hexadecimal digits of an MD5.
 CELLS = 1 << 16
@@ -81,9 +82,9 @@ def walk_ring(arcs: list[tuple[int, int]], counts: dict[int, int], limit: list[i
 def assign_shards(docs: DataFrame, n_shards: int = SHARDS, points: int = POINTS, slack: float = 0.0) -> DataFrame:
     """Every row of `docs` with its shard: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    size is the text's UTF-8 bytes plus 8; a null text counts as empty; null doc_ids share one ring
-    position and are told apart by size and checksum. Repeated rows get slots of their own. An empty table
-    gives an empty result. Other columns of `docs` are ignored.
+    size is the text's UTF-8 bytes plus 8; a null text counts as empty; null doc_ids, and equal ones, share one ring
+    position and are told apart by checksum and size. Repeated rows get slots of their own. An empty table
+    gives an empty result. Other columns of `docs` are ignored, whatever their names.
     """
     spark = docs.sparkSession
     arcs = ring_arcs(n_shards, points)
@@ -97,19 +98,29 @@ def assign_shards(docs: DataFrame, n_shards: int = SHARDS, points: int = POINTS,
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     arc = F.element_at(lookup, F.conv(F.substring(key, 1, 4), 16, 10).cast("int") + 1)
 
-    counts = {r["arc"]: r["n"] for r in docs.select(arc.alias("arc")).groupBy("arc").agg(F.count("*").alias("n")).collect()}
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", (utf8_bytes(F.col("text")) + 8).alias("size"), crc.alias("text_crc32"), key.alias("ring_key"), arc.alias("arc"))
+    rows = stash(rows, "ring")  # narrow; texts are read once
+    order = ("arc", "ring_key", "doc_id", "size", "text_crc32")
+    # Row numbers of the sorted parts, written, and the places where parts and arcs begin.
+    rows = stash(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "ring-sorted")
+    part, at = F.shiftright("id", 33).cast("int"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    # As many rows as arcs and parts, whatever the input.
+    found = rows.groupBy(part.alias("part"), "arc").agg(F.count("*").alias("n")).orderBy("part", "arc").collect()
+    begins, starts, total = {}, {}, 0
+    for r in found:
+        begins.setdefault(r["part"], total)
+        starts.setdefault(r["arc"], total)
+        total += r["n"]
+    offsets = literal_table(spark, [(r["part"], r["arc"], begins[r["part"]] - starts[r["arc"]]) for r in found], "part int, arc int, before long")
+    counts: dict[int, int] = {}
+    for r in found:
+        counts[r["arc"]] = counts.get(r["arc"], 0) + r["n"]
     limit = bounds(sum(counts.values()), n_shards, slack)
     # Bounded by the ring (n_shards x points arcs, each split a few times), never by the documents.
     segments = literal_table(spark, walk_ring(arcs, counts, limit), "arc int, lo long, hi long, shard int, slot0 long")
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    ranked = docs.select(
-        "doc_id",
-        (utf8_bytes(F.col("text")) + 8).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        key.alias("ring_key"),
-        arc.alias("arc"),
-    ).withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("ring_key", "doc_id", "size", "text_crc32")) - 1)
+    ranked = rows.withColumn("part", part).join(F.broadcast(offsets), ["part", "arc"]).withColumn("rank", F.col("before") + at)
     placed = ranked.join(F.broadcast(segments), "arc").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select(
         "doc_id",

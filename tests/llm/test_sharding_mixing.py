@@ -128,3 +128,13 @@ def test_mix_edges(spark):
     assert len(got) == 7 and all(not r["__first"] for r in got if r["__size"] == 0)
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     assert mixing.mixed(spark.createDataFrame([(1, " ", "s")], DOCS)).count() == 0
+
+
+def test_rows_without_id_get_every_slot_once(spark):
+    rows = [(None, f"text {i}") for i in range(3000)] + [(5, f"more {i}") for i in range(1500)] + [(5, "same")] * 20
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), n_shards=7).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == len(rows) and len(slots) == 7
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
