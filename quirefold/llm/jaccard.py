@@ -258,12 +258,12 @@ def read(docs: DataFrame, n_parts: int, width: int, percent: int) -> DataFrame:
         held_sig, held_cls = [], []
         tx.tidy()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key")).mapInArrow(run, READ)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key")).mapInArrow(run, READ)
 
 
-def text_key() -> Column:
+def text_key(text: Column) -> Column:
     """With doc_id it tells rows apart: rows equal in both are one document said twice."""
-    return F.xxhash64("text")
+    return F.xxhash64(text)
 
 
 def signed_groups(packed: DataFrame) -> DataFrame:
@@ -640,7 +640,7 @@ def _pairs_joined(pairs: DataFrame, percent: int) -> DataFrame:
 
 def linked_rows(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key, n_shingles, root and component_id of every row, as `linked_components` says; rows share a root
-    if links join them, and it is null for the empty set. A row's text_key is text_key() of its text."""
+    if links join them, and it is null for the empty set. text_key is text_key() of the text."""
     text_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     share = 0.02 * (100 - percent) / 6  # signatures a byte, about

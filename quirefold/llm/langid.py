@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import text as tx
 from .common import held_out, text_batches
@@ -172,13 +173,18 @@ def fit(docs: DataFrame, learn_from: Column) -> Model | None:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """`docs` with lang_pred and score; `und` and 0 where the text is null or has no letter, or nothing was learned.
+    """`docs` with lang_pred and score; `und` and 0 where the text is null, empty or has no letter, or nothing was learned.
 
-    Equal texts get equal results wherever they stand.
+    Equal texts get equal results wherever they stand, repeated rows a row each, an empty table an empty result; texts
+    count whole, however long. A column of `docs` called lang_pred or score is an error: wrap such a table's rows in a
+    struct, which passes through.
     """
     text_batches(docs.sparkSession)
     names = docs.columns
-    schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    clash = {n.lower() for n in names} & {"lang_pred", "score"}
+    if clash:
+        raise ValueError(f"the table already has columns {sorted(clash)}")
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
