@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import namedtuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,11 +33,18 @@ def group_lines(boxes: DataFrame, step: float = LINE_STEP) -> DataFrame:
     return boxes.join(lines, [*PAGE, "y1"]).withColumn("pos", F.row_number().over(at) - 1)
 
 
+#: Fixed values of merging: share by which font sizes may differ, and distances in font sizes: one line's height, gap
+#: across, shift of centres, gap down, and where a scan ends.
+SIZES, LINE, ACROSS, CENTRE, DOWN, FAR = 1.1, 0.3, 0.5, 0.7, 1.5, 5
+_FIELDS = ("element_id", "element_type", "confidence", "x1", "y1", "x2", "y2", "text", "font_name", "font_size", "bold", "italic")
+Fragment = namedtuple("Fragment", _FIELDS)
+
+
 def _same_font(a, b) -> bool:
     if a.font_name and b.font_name and a.font_name != b.font_name:
         if re.sub("[^a-z]", "", a.font_name.lower()) != re.sub("[^a-z]", "", b.font_name.lower()):
             return False
-    if a.font_size and b.font_size and max(a.font_size, b.font_size) > 1.1 * min(a.font_size, b.font_size):
+    if a.font_size and b.font_size and max(a.font_size, b.font_size) > SIZES * min(a.font_size, b.font_size):
         return False
     return bool(a.bold) == bool(b.bold) and bool(a.italic) == bool(b.italic)
 
@@ -47,10 +55,10 @@ def _mean_size(a, b) -> float:
 
 def _close(a, b) -> bool:
     size = _mean_size(a, b)
-    if abs(a.y1 - b.y1) <= 0.3 * size:
-        return min(abs(a.x2 - b.x1), abs(b.x2 - a.x1)) <= 0.5 * size
-    if abs((a.x1 + a.x2) - (b.x1 + b.x2)) / 2 <= 0.7 * size:
-        return min(abs(a.y2 - b.y1), abs(b.y2 - a.y1)) <= 1.5 * size
+    if abs(a.y1 - b.y1) <= LINE * size:
+        return min(abs(a.x2 - b.x1), abs(b.x2 - a.x1)) <= ACROSS * size
+    if abs((a.x1 + a.x2) - (b.x1 + b.x2)) / 2 <= CENTRE * size:
+        return min(abs(a.y2 - b.y1), abs(b.y2 - a.y1)) <= DOWN * size
     return False
 
 
@@ -81,42 +89,52 @@ def joined_text(texts: list[str]) -> str:
 MERGED = "element_id long, element_type string, confidence double, x1 double, y1 double, x2 double, y2 double, text string, font_name string, font_size double, bold boolean, italic boolean, n_merged int, original_texts array<string>"
 
 
+def merged(rest: list) -> list[dict]:
+    """A page's fragments, in order, merged greedily."""
+    out, used = [], [False] * len(rest)
+    for i, first in enumerate(rest):
+        if used[i]:
+            continue
+        group, last = [first], first
+        for j in range(i + 1, len(rest)):
+            if used[j]:
+                continue
+            other = rest[j]
+            # The nearest test first: most of a page is neither close nor far.
+            if _close(last, other) and _same_font(last, other) and continues(last.text or "", other.text or ""):
+                group.append(other)
+                used[j], last = True, other
+            else:
+                far = FAR * _mean_size(last, other)
+                if abs(last.y1 - other.y1) > far or abs(last.x1 - other.x1) > far:
+                    break
+        group.sort(key=lambda e: (e.y1, e.x1, e.element_id))
+        lead, kinds = group[0], [e.element_type for e in group]
+        out.append(lead._asdict() | {
+            "element_type": max(sorted(set(kinds), key=str), key=kinds.count), "confidence": min(e.confidence for e in group),
+            "x1": min(e.x1 for e in group), "y1": min(e.y1 for e in group), "x2": max(e.x2 for e in group), "y2": max(e.y2 for e in group),
+            "text": joined_text([e.text or "" for e in group]), "n_merged": len(group), "original_texts": [e.text for e in group],
+        })
+    return out
+
+
 def merge_fragments(spans: DataFrame) -> DataFrame:
     """Fragments of running text on a page merged greedily, in order of (y1, x1, element_id).
 
     From each fragment not yet used, later ones join while fonts agree, boxes lie close and the text goes on; the scan
     ends at the first fragment more than five font sizes away. Folded page by page: on documents of one page this equals
     a scan of the whole document. The merged row has the union of boxes, the least confidence, the most frequent type
-    (ties: the first by name) and the id and style of its first fragment.
+    (ties: the first by name) and the id and style of its first fragment. A page is one row on its way through Python.
     """
-    columns = ["element_id", "element_type", "confidence", "x1", "y1", "x2", "y2", "text", "font_name", "font_size", "bold", "italic"]
     kinds = {"element_id": "long", "element_type": "string", "text": "string", "font_name": "string", "bold": "boolean", "italic": "boolean"}
-    rows = spans.select(*PAGE, *[F.col(c).cast(kinds.get(c, "double")).alias(c) for c in columns])
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        rest = list(page.astype(object).where(page.notna(), None).sort_values(["y1", "x1", "element_id"]).itertuples(index=False))
-        out, used = [], [False] * len(rest)
-        for i, first in enumerate(rest):
-            if used[i]:
-                continue
-            group, last = [first], first
-            for j in range(i + 1, len(rest)):
-                if used[j]:
-                    continue
-                far = 5 * _mean_size(last, rest[j])
-                if _same_font(last, rest[j]) and _close(last, rest[j]) and continues(last.text or "", rest[j].text or ""):
-                    group.append(rest[j])
-                    used[j], last = True, rest[j]
-                elif abs(last.y1 - rest[j].y1) > far or abs(last.x1 - rest[j].x1) > far:
-                    break
-            group.sort(key=lambda e: (e.y1, e.x1, e.element_id))
-            names = sorted({e.element_type for e in group}, key=str)
-            lead = group[0]
-            out.append((lead.doc_id, lead.page_number, lead.element_id, max(names, key=lambda n: sum(e.element_type == n for e in group)), min(e.confidence for e in group), min(e.x1 for e in group), min(e.y1 for e in group), max(e.x2 for e in group), max(e.y2 for e in group), joined_text([e.text or "" for e in group]), lead.font_name, lead.font_size, lead.bold, lead.italic, len(group), [e.text for e in group]))
-        return pd.DataFrame(out, columns=[*PAGE, *columns, "n_merged", "original_texts"])
+    rows = spans.select(*PAGE, F.struct(*[F.col(c).cast(kinds.get(c, "double")).alias(c) for c in ("y1", "x1", "element_id", *[c for c in _FIELDS if c not in ("y1", "x1", "element_id")])]).alias("e"))
+
+    @F.pandas_udf(f"array<struct<{MERGED.replace(' array', ':array').replace(', ', ',').replace(' ', ':')}>>")
+    def fold(pages: pd.Series) -> pd.Series:
+        return pd.Series([merged([Fragment(*[e[c] for c in _FIELDS]) for e in page]) for page in pages])
 
-    return rows.groupBy(*PAGE).applyInPandas(fold, f"doc_id {types['doc_id']}, page_number {types['page_number']}, {MERGED}")
+    pages = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list("e")).alias("es"))
+    return pages.select(*PAGE, F.inline(fold("es")))
 
 
 def enrich(pairs: DataFrame, collapse: bool = False) -> DataFrame:

@@ -5,18 +5,18 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
-MAX_LEVEL = 12
-
-
-def parents(titles: DataFrame, prune: bool = False, max_level: int = MAX_LEVEL) -> DataFrame:
+def parents(titles: DataFrame, prune: bool = False, max_level: int | None = None) -> DataFrame:
     """Adds parent_idx: the last earlier title one level up, failing that two up, and so on; null at the root.
 
     Titles of an ended branch still count unless prune, as `2.1.1` after `1.1` and `2.` then hangs below `1.1`. With
-    prune the parent is the last earlier title of any lower level.
+    prune the parent is the last earlier title of any lower level. max_level is the deepest level there is; it is read
+    from the titles where the caller does not know it.
     """
+    max_level = (titles.agg(F.max("level")).collect()[0][0] or 0) if max_level is None else max_level
     order = Window.partitionBy("doc_id").orderBy("title_idx").rowsBetween(Window.unboundedPreceding, -1)
     last = [F.max(F.when(F.col("level") == k, F.col("title_idx"))).over(order) for k in range(max_level)]
     if prune:
@@ -65,23 +65,36 @@ def shared_contents(sections: DataFrame, elements: DataFrame) -> DataFrame:
     return s.withColumn("content", F.concat_ws("\n", F.nullif(own, F.lit("")), F.nullif(F.col("content"), F.lit("")))).drop("__next", "__text")
 
 
-def paths(sections: DataFrame, separator: str = "-") -> DataFrame:
-    """Adds path, the titles from the root down, and place, the section's number in depth-first order.
+_PLACES = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("place", T.LongType())]))
 
-    A fold over each document's sections: a parent comes before its children, so one pass builds all paths.
-    """
 
-    def fold(doc: pd.DataFrame) -> pd.DataFrame:
-        doc = doc.sort_values("title_idx")
-        known: dict[int, tuple[str, tuple]] = {}
-        for idx, up, title in zip(doc.title_idx, doc.parent_idx, doc.title, strict=True):
-            above, key = known.get(up, (None, ())) if up == up and up is not None else (None, ())
-            known[idx] = (title if above is None else f"{above}{separator}{title}", (*key, idx))
+@F.pandas_udf(_PLACES)
+def _paths(outlines: pd.Series, separators: pd.Series) -> pd.Series:
+    """Of each outline, its titles in order: path and place in depth-first order."""
+    out = []
+    for outline, separator in zip(outlines, separators, strict=True):
+        known: dict[int, tuple[str | None, tuple]] = {}
+        for node in outline:
+            above, key = known.get(node["parent_idx"], (None, ()))
+            path = node["title"] if above is None else f"{above}{separator}{node['title']}"
+            known[node["title_idx"]] = (path, (*key, node["title_idx"]))
         rank = {k: i for i, k in enumerate(sorted(known, key=lambda k: known[k][1]))}
-        return doc.assign(path=[known[i][0] for i in doc.title_idx], place=pd.array([rank[i] for i in doc.title_idx], dtype="int64"))
+        out.append([{"path": path, "place": rank[i]} for i, (path, _) in known.items()])
+    return pd.Series(out)
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sections.schema.fields)
-    return sections.groupBy("doc_id").applyInPandas(fold, f"{kinds}, path string, place long")
+
+def paths(sections: DataFrame, separator: str = "-") -> DataFrame:
+    """Adds path, the titles from the root down, and place, the section's number in depth-first order.
+
+    A parent comes before its children, so one pass over a document's titles builds all paths. Only titles and their
+    parents go through Python, a document a row; contents stay where they are and meet the result by document.
+    """
+    node = F.struct("title_idx", "parent_idx", "title")
+    outlines = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(node)).alias("__nodes"))
+    found = outlines.select(F.col("doc_id").alias("__doc"), F.col("__nodes.title_idx").alias("__at"), _paths("__nodes", F.lit(separator)).alias("__found"))
+    mine = F.get("__found", (F.array_position("__at", F.col("title_idx")) - 1).cast("int"))
+    joined = sections.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")))
+    return joined.select(*sections.columns, mine["path"].alias("path"), mine["place"].alias("place"))
 
 
 def flatten(sections: DataFrame, separator: str = "-") -> DataFrame:

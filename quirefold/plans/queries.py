@@ -89,7 +89,7 @@ def document_text(spark, sf_dir):
 SELECT doc_id, CAST(title_idx AS BIGINT) AS title_idx, CAST(level AS BIGINT) AS level, CAST(CASE level WHEN 1 THEN l0 WHEN 2 THEN coalesce(l1, l0) WHEN 3 THEN coalesce(l2, l1, l0) END AS BIGINT) AS parent_idx FROM w""")
 def section_parents(spark, sf_dir):
     """Parents by level, ended branches included."""
-    return _big(sections.parents(fx.titles(spark, sf_dir)).select("doc_id", "title_idx", "level", "parent_idx"))
+    return _big(sections.parents(fx.titles(spark, sf_dir), max_level=3).select("doc_id", "title_idx", "level", "parent_idx"))
 
 
 @query(f"""WITH RECURSIVE {fx.TITLES}, {_CONTENT}, w AS (
@@ -102,7 +102,7 @@ def section_parents(spark, sf_dir):
 SELECT t.doc_id, row_number() OVER (PARTITION BY t.doc_id ORDER BY k) - 1 AS sec_idx, path AS title, coalesce(b.content, '') AS content, CAST(level AS BIGINT) AS level FROM tree t LEFT JOIN bodies b USING (doc_id, title_idx)""")
 def flat_sections(spark, sf_dir):
     """Paths of titles in depth-first order."""
-    found = sections.contents(sections.parents(_titled(spark, sf_dir)), fx.lines(spark, sf_dir))
+    found = sections.contents(sections.parents(_titled(spark, sf_dir), max_level=3), fx.lines(spark, sf_dir))
     return _big(sections.flatten(found))
 
 
@@ -153,7 +153,10 @@ def outline_stream(spark, sf_dir):
 
     from ..streaming.outline import completed_lines
 
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:  # one machine has its own folder, any other session the warehouse, which a cluster shares
+        shared = tempfile.gettempdir() if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
+    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     made = fx.chunks(spark, sf_dir)
     made.write.parquet(f"{base}/in")
     stream = completed_lines(spark.readStream.schema(made.schema).parquet(f"{base}/in"))
@@ -384,26 +387,32 @@ TITLE_NUMBERS = (
 )
 
 
-def _numbers(spark: SparkSession) -> DataFrame:
-    rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"(0L, {i}, '{t[0]}')" for i, t in enumerate(TITLE_NUMBERS)) + " AS t(doc_id, title_idx, text)")
-    return rows.withColumn("number", numbering.title_number(F.col("text")))
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The titles read by hand as document -1, and the numbered titles of all documents."""
+    rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"(-1L, {i}, '{t[0]}')" for i, t in enumerate(TITLE_NUMBERS)) + " AS t(doc_id, title_idx, text)")
+    made = fx.titles(spark, sf_dir).select("doc_id", "title_idx", F.concat_ws(" ", "token", "title").alias("text"))
+    return rows.union(made).withColumn("number", numbering.title_number(F.col("text")))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{k}', '{p}', CAST({n} AS BIGINT))" for t, k, p, n in TITLE_NUMBERS) + ") v(text, number_type, path, level)")
+_NUMBERS = f"""v AS (
+  SELECT * FROM (VALUES {", ".join(f"(CAST(-1 AS BIGINT), {i}, '{t}', '{k}', '{p}', {n}, '{next((c for c in t if k == 'chinese_unit' and c in numbering.CLAUSE_UNITS), '')}')" for i, (t, k, p, n) in enumerate(TITLE_NUMBERS))}) v(d, i, t, k, p, n, u)
+  UNION ALL SELECT doc_id, title_idx, token || ' ' || title, 'arabic_decimal', number, len(string_split(number, '.')) - 1, '' FROM titles)"""
+
+
+@query(f"WITH {fx.TITLES}, {_NUMBERS} SELECT d AS doc_id, CAST(i AS BIGINT) AS title_idx, t AS text, k AS number_type, p AS path, CAST(n AS BIGINT) AS level FROM v")
 def title_numbers(spark, sf_dir):
     """Number types, paths and levels of titles."""
-    return _big(_numbers(spark).select("text", F.col("number.number_type").alias("number_type"), numbering.hierarchy_path(F.col("number")).alias("path"), F.col("number.level").alias("level")))
+    return _big(_numbers(spark, sf_dir).select("doc_id", "title_idx", "text", F.col("number.number_type").alias("number_type"), numbering.hierarchy_path(F.col("number")).alias("path"), F.col("number.level").alias("level")))
 
 
-@query("""WITH v AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{k}', '{p}', {n}, '{next((c for c in t if k == 'chinese_unit' and c in numbering.CLAUSE_UNITS), '')}')" for i, (t, k, p, n) in enumerate(TITLE_NUMBERS)) + """) v(i, k, p, n, u)), q AS (
-  SELECT *, string_split(p, '.') AS parts FROM v)
-SELECT CAST(0 AS BIGINT) AS doc_id, CAST(a.i AS BIGINT) AS a_idx, CAST(b.i AS BIGINT) AS b_idx,
+@query(f"""WITH {fx.TITLES}, {_NUMBERS}, q AS (SELECT *, string_split(p, '.') AS parts FROM v)
+SELECT a.d AS doc_id, CAST(a.i AS BIGINT) AS a_idx, CAST(b.i AS BIGINT) AS b_idx,
   CASE WHEN a.n = b.n AND len(a.parts) = len(b.parts) AND CASE WHEN len(a.parts) = 1 THEN a.k = b.k AND a.u = b.u ELSE a.parts[:-2] = b.parts[:-2] END THEN 'sibling'
        WHEN b.n = a.n + 1 AND len(b.parts) = len(a.parts) + 1 AND b.parts[:-2] = a.parts THEN 'parent_child' WHEN a.n = b.n + 1 AND len(a.parts) = len(b.parts) + 1 AND a.parts[:-2] = b.parts THEN 'child_parent' ELSE 'unrelated' END AS relation
-FROM q a JOIN q b ON a.i < b.i""")
+FROM q a JOIN q b ON a.d = b.d AND a.i < b.i""")
 def title_relations(spark, sf_dir):
-    """Relations of numbered titles."""
-    return _big(outline.relate(_numbers(spark), numbering.relation(F.col("a_number"), F.col("b_number"))))
+    """Relations of a document's numbered titles."""
+    return _big(outline.relate(_numbers(spark, sf_dir), numbering.relation(F.col("a_number"), F.col("b_number"))))
 
 
 @query()
@@ -425,7 +434,7 @@ def own_content(spark, sf_dir):
 # --- encodings ------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {fx.STYLED}, st AS (
+_CODES = f"""WITH {fx.STYLED}, st AS (
   SELECT doc_id, min(font_size) AS s0, max(font_size) AS s1, min(length(text)) AS n0, max(length(text)) AS n1, max(x2 - x1) AS w, max(y2 - y1) AS h FROM styled GROUP BY 1
 ), ys AS (SELECT doc_id, page_number, y1, lag(b) OVER p AS above, lead(y1) OVER p AS below FROM (SELECT doc_id, page_number, y1, arg_min(y2, element_id) AS b FROM styled GROUP BY 1, 2, 3) WINDOW p AS (PARTITION BY doc_id, page_number ORDER BY y1)
 ), c AS (
@@ -437,7 +446,10 @@ def own_content(spark, sf_dir):
     CASE WHEN n1 > n0 THEN CAST(length(text) - n0 AS DOUBLE) / (n1 - n0) ELSE 0.5 END AS length_norm,
     CASE element_type WHEN 'Plain Text' THEN 0 WHEN 'Title' THEN 1 WHEN 'Figure' THEN 3 WHEN 'Figure Caption' THEN 4 WHEN 'Table' THEN 5 WHEN 'Table Caption' THEN 6 ELSE 13 END AS element_type_code,
     coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (e.y1 - above) / 50)), 0.0) AS spacing_before, coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (below - e.y2) / 50)), 0.0) AS spacing_after, least(1.0::DOUBLE, e.x1 / 100) AS indentation, substr(md5(text), 1, 16) AS content_hash
-  FROM styled e JOIN st ON st.doc_id = e.doc_id JOIN ys ON ys.doc_id = e.doc_id AND ys.page_number = e.page_number AND ys.y1 = e.y1)
+  FROM styled e JOIN st ON st.doc_id = e.doc_id JOIN ys ON ys.doc_id = e.doc_id AND ys.page_number = e.page_number AND ys.y1 = e.y1)"""
+
+
+@query(f"""{_CODES}
 SELECT doc_id, CAST(page_number AS BIGINT) AS page_number, element_id, round(font_size_norm, 9) AS font_size_norm, CAST(font_style_code AS BIGINT) AS font_style_code, CAST(alignment_code AS BIGINT) AS alignment_code, round(pos_x, 9) AS pos_x, round(pos_y, 9) AS pos_y,
   round(length_norm, 9) AS length_norm, CAST(element_type_code AS BIGINT) AS element_type_code, round(spacing_before, 9) AS spacing_before, round(spacing_after, 9) AS spacing_after, round(indentation, 9) AS indentation, content_hash,
   substr(md5('fs' || printf('%.2f', font_size_norm) || '_st' || font_style_code || '_al' || alignment_code || '_hl0_et' || element_type_code), 1, 12) AS signature FROM c""")
@@ -448,9 +460,10 @@ def element_codes(spark, sf_dir):
     return _big(c.drop("number_type", "hierarchy_level").withColumns({d: F.round(d, 9) for d in doubles}))
 
 
-@query()
+@query(f"""{_CODES}, s AS (SELECT doc_id, element_id, 'L0_' || substr(md5('fs' || printf('%.2f', font_size_norm) || '_st' || font_style_code || '_al' || alignment_code || '_hl0_et' || element_type_code), 1, 8) AS cluster FROM c)
+SELECT doc_id, cluster, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(element_id AS VARCHAR), ',' ORDER BY element_id) AS element_ids FROM s GROUP BY 1, 2""")
 def element_clusters(spark, sf_dir):
-    """Elements by level and signature (A11); rows only beside element_codes, whose signatures SQL checks."""
+    """Elements by level and signature."""
     return encode.clusters(encode.encode(fx.styled(spark, sf_dir))).select("doc_id", "cluster", "n", F.array_join("element_ids", ",").alias("element_ids"))
 
 
@@ -465,25 +478,25 @@ _DIST = {
     "structural": "CASE WHEN a.sig = b.sig THEN 0.0 ELSE (abs(a.fs - b.fs) + bit_count(xor(a.st, b.st)) / 6.0 + CAST(a.al <> b.al AS INT) + abs(a.hl - b.hl) / 10.0 + CAST(a.et <> b.et AS INT)) / 5 END",
     "hierarchical": "CASE abs(a.hl - b.hl) WHEN 0 THEN 0.1 WHEN 1 THEN 0.3 ELSE least(1.0, abs(a.hl - b.hl) / 5.0) END",
 }
-_CODED = "c AS (SELECT CAST(p_partkey AS INT) AS i, p_size / 50.0::DOUBLE AS fs, CAST(p_size % 64 AS INT) AS st, CAST(p_size % 5 AS INT) AS al, CAST(p_partkey % 9 AS INT) AS hl, CAST(p_size % 14 AS INT) AS et, p_brand AS sig, p_partkey % 97 AS g FROM part)"
+_CODED = "c AS (SELECT CAST(p_partkey AS INT) AS i, p_size / 50.0::DOUBLE AS fs, CAST(p_size % 64 AS INT) AS st, CAST(p_size % 5 AS INT) AS al, CAST(p_partkey % 9 AS INT) AS hl, CAST(p_size % 14 AS INT) AS et, p_brand AS sig FROM part)"
 
 
-@query(f"WITH {_CODED} SELECT CAST(a.i AS BIGINT) AS a, CAST(b.i AS BIGINT) AS b, round({_DIST['structural']}, 9) AS structural, round(CAST({_DIST['hierarchical']} AS DOUBLE), 9) AS hierarchical FROM c a JOIN c b ON a.g = b.g AND a.i < b.i")
+@query(f"WITH {_CODED} SELECT CAST(a.i AS BIGINT) AS a, CAST(b.i AS BIGINT) AS b, round({_DIST['structural']}, 9) AS structural, round(CAST({_DIST['hierarchical']} AS DOUBLE), 9) AS hierarchical FROM c a JOIN c b ON a.i % 50 = 0 AND a.i <> b.i")
 def code_distances(spark, sf_dir):
-    """Structural and hierarchical distances."""
+    """Structural and hierarchical distances of every part whose key is divisible by 50 to all others."""
     p = fx.read(spark, sf_dir, "part")
     k, size = F.col("p_partkey"), F.col("p_size")
-    c = p.select(k.alias("i"), (size / 50.0).alias("font_size_norm"), (size % 64).cast("int").alias("font_style_code"), (size % 5).alias("alignment_code"), (k % 9).alias("hierarchy_level"), (size % 14).alias("element_type_code"), F.col("p_brand").alias("signature"), (k % 97).alias("g"))
-    pairs = encode.sided(c, "a_", "g").join(encode.sided(c, "b_", "g"), "g").where("a_i < b_i")
+    c = p.select(k.alias("i"), (size / 50.0).alias("font_size_norm"), (size % 64).cast("int").alias("font_style_code"), (size % 5).alias("alignment_code"), (k % 9).alias("hierarchy_level"), (size % 14).alias("element_type_code"), F.col("p_brand").alias("signature"))
+    pairs = encode.against_all(encode.sided(c.where("i % 50 = 0"), "a_"), encode.sided(c, "b_")).where("a_i <> b_i")
     return _big(pairs.select(F.col("a_i").alias("a"), F.col("b_i").alias("b"), F.round(encode.distance("structural"), 9).alias("structural"), F.round(encode.distance("hierarchical").cast("double"), 9).alias("hierarchical")))
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, vec_id % 29 AS g FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(a.e, b.e), 6) AS distance FROM v a JOIN v b ON a.g = b.g AND a.vec_id < b.vec_id""")
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(a.e, b.e), 6) AS distance FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id""")
 def semantic_distances(spark, sf_dir):
-    """Cosine distances of stored vectors."""
-    v = fx.read(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 29).alias("g"))
-    pairs = encode.sided(v, "a_", "g").join(encode.sided(v, "b_", "g"), "g").where("a_vec_id < b_vec_id")
+    """Cosine distances of every stored vector whose id is divisible by 50 to all others."""
+    v = fx.read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    pairs = encode.against_all(encode.sided(v.where("vec_id % 50 = 0"), "a_"), encode.sided(v, "b_")).where("a_vec_id <> b_vec_id")
     return pairs.select(F.col("a_vec_id").alias("a"), F.col("b_vec_id").alias("b"), F.round(encode.cosine_distance(F.col("a_embedding"), F.col("b_embedding")), 6).alias("distance"))
 
 

@@ -57,7 +57,8 @@ def blocks_of(html: str | None) -> list[tuple[str, int, str, str]]:
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, ord, element_type, heading_level, text, path of the text blocks of pages(page_id, html)."""
+    """page_id, ord, element_type, heading_level, text, path of the text blocks of pages(page_id, html); pages without an
+    id keep a null one, pages without text have no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -66,4 +67,4 @@ def html_blocks(pages: DataFrame) -> DataFrame:
                 out += [(page, i, *row) for i, row in enumerate(blocks_of(html))]
             yield pd.DataFrame(out, columns=["page_id", "ord", "element_type", "heading_level", "text", "path"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").where("page_id is not null").mapInPandas(run, "page_id long, ord int, element_type string, heading_level int, text string, path string")
+    return pages.select(F.col("page_id").cast("string").alias("page_id"), "html").mapInPandas(run, "page_id string, ord int, element_type string, heading_level int, text string, path string").withColumn("page_id", F.col("page_id").cast("long"))

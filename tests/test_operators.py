@@ -177,3 +177,20 @@ def test_tables_of_elements_and_underlines(spark):
     lines_ = spark.createDataFrame([(0, 1, 0, 0.0, 9.0, 90.0, 9.5), (0, 1, 1, 0.0, 60.0, 9.0, 60.0)], BOX.replace("element_id", "drawing_id"))
     got = [(r["element_id"], r["d_drawing_id"], r["underscores"], r["is_horizontal"]) for r in spatial.nearby_underlines(els, lines_).collect()]
     assert sorted(got) == [(5, 0, 11, True), (6, 0, 11, True)]
+
+
+def test_parents_at_any_level(spark):
+    """Each title one level below the one before hangs on it, however deep; a gap hangs on the nearest level above."""
+    levels = [*range(25), 3, 40, 41]
+    rows = spark.createDataFrame([(1, i, k, f"t{i}") for i, k in enumerate(levels)], "doc_id long, title_idx int, level int, title string")
+    got = {r["title_idx"]: r["parent_idx"] for r in sections.parents(rows).collect()}
+    assert got == {0: None, **{i: i - 1 for i in range(1, 25)}, 25: 2, 26: 24, 27: 26}
+    found = {r["title_idx"]: (r["path"], r["place"]) for r in sections.paths(sections.parents(rows)).collect()}
+    assert found[3] == ("t0-t1-t2-t3", 3) and found[25] == ("t0-t1-t2-t25", 27) and found[27][0].endswith("t24-t26-t27")
+
+
+def test_pages_without_an_id_stay(spark):
+    from quirefold.sources.html import html_blocks
+
+    pages = spark.createDataFrame([(None, "<p>a</p>"), (2**60 + 1, "<h1>b</h1>"), (3, None)], "page_id long, html string")
+    assert sorted([(r["page_id"], r["text"]) for r in html_blocks(pages).collect()], key=str) == [(2**60 + 1, "b"), (None, "a")]
