@@ -42,6 +42,7 @@ _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c
 _SPACE = "\x20\t\n\x0b\x0c\r"
 _GAP = re.compile(tx.WORD_GAP)
 _QUOTES = frozenset("\"“”„«»")
+_MARK = re.compile("[" + "".join(sorted(_QUOTES)) + "]")
 
 
 def edits(term: str) -> int:
@@ -194,7 +195,7 @@ def features(texts: pa.Array, lexicon: Lexicon, machine: Automaton, known: dict[
         codes = found.codes[lo:hi]
         own = places[owner == i] - lo
         text = texts[i].as_py()
-        quoted_at = quoted_words(text, [vocab[k] for k in codes]) if any(c in _QUOTES for c in text) else frozenset()
+        quoted_at = quoted_words(text, [vocab[k] for k in codes]) if _MARK.search(text) else frozenset()
         abuse = quoted = near = exact = guessed = 0.0
         strongest, distinct, address, sure = 0.0, set(), 0, 0
         for at in own:
@@ -260,7 +261,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray | Non
                 for i in range(hi - lo):
                     codes = found.codes[found.starts[i] : found.starts[i + 1]]
                     text = column[lo + i].as_py()
-                    if any(c in _QUOTES for c in text):  # what is quoted says nothing about a term
+                    if _MARK.search(text):  # what is quoted says nothing about a term
                         spelt = found.vocab.take(pa.array(codes)).to_pylist()
                         codes = np.delete(codes, sorted(quoted_words(text, spelt)))
                     own = {vocab[k] for k in np.unique(codes)}
