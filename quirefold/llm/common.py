@@ -20,8 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; set here only where unset (tests)."""
+    """The folder that the cluster shares, from spark.checkpoint.dir. Where that is unset, a session on one machine (tests,
+    benchmarks) gets a temporary folder, and any other the warehouse, which a cluster shares too."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        found = spark.conf.get("spark.sql.warehouse.dir")
     if not found:
         found = tempfile.mkdtemp(prefix="quirefold-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)

@@ -54,7 +54,7 @@ BROADCAST_ROWS = 1_000_000
 #: (from percent, shingles that a bucket of a sketch has at most, step of levels in percent). The lower the limit, the
 #: larger the differences that sketches must tell from those of unrelated sets, and the fewer shingles a hash range has.
 #: At 16 a bucket, sketches of unrelated sets differ by 0.14 of both sizes or more, and 0.081 is what may link.
-PRUNING = ((85, 16, 170), (0, 8, 135))
+PRUNING = ((85, 16, 170), (0, 12, 135))
 _ODD = np.uint64(0x9FB21C651E98DF25)
 #: Tables that depend on sizes only; plain dictionaries, so that functions that use them travel by value.
 _levels: dict[tuple[int, int], tuple[tuple[int, int], ...]] = {}
@@ -365,6 +365,7 @@ def chained(packed: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
         return _near_edges(table, percent)
 
     groups = stash(signed_groups(packed), "groups")
+    drop_stash(packed)  # what texts gave is consumed
     members = groups.where("b is null").select("sig", F.col("a").alias("cls"))
     n_parts = max(12, math.ceil(members.count() / (PART_ROWS * pruning(percent)[0] / 16)))
     members = members.distinct().join(owners.select("cls", "n", "sketch"), "cls").withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(n_parts)).cast("int"))
@@ -645,8 +646,9 @@ def linked_rows(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     share = 0.02 * (100 - percent) / 6  # signatures a byte, about
     found = stash(read(docs, max(12, math.ceil(share * size / PART_SIGNATURES)), width, percent), "read")
-    measured = found.where("part is null").select("doc_id", "text_key", "n_shingles", "cls", "sketch")
-    owners = stash(measured.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "owners")
+    measured = stash(found.where("part is null").select("doc_id", "text_key", "n_shingles", "cls"), "measured")
+    one = found.where("n_shingles > 0")
+    owners = stash(one.groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "owners")
     regions = connected(chained(found.where("part is not null"), owners, percent))  # classes in a region of more than one
     members = regions.withColumnRenamed("node", "cls").join(owners, "cls").select("cls", F.col("root").alias("region"), F.coalesce("doc", F.lit(-(2**63))).alias("key"), "n")
     roots = _roots(docs, stash(members, "members"), width, percent)
