@@ -434,7 +434,7 @@ def own_content(spark, sf_dir):
 # --- encodings ------------------------------------------------------------------------------------------------------
 
 
-_CODES = f"""WITH {fx.STYLED}, st AS (
+_CODES = rf"""WITH {fx.STYLED}, st AS (
   SELECT doc_id, min(font_size) AS s0, max(font_size) AS s1, min(length(text)) AS n0, max(length(text)) AS n1, max(x2 - x1) AS w, max(y2 - y1) AS h FROM styled GROUP BY 1
 ), ys AS (SELECT doc_id, page_number, y1, lag(b) OVER p AS above, lead(y1) OVER p AS below FROM (SELECT doc_id, page_number, y1, arg_min(y2, element_id) AS b FROM styled GROUP BY 1, 2, 3) WINDOW p AS (PARTITION BY doc_id, page_number ORDER BY y1)
 ), c AS (
@@ -445,22 +445,24 @@ _CODES = f"""WITH {fx.STYLED}, st AS (
     least(1.0::DOUBLE, e.x1 / w) AS pos_x, least(1.0::DOUBLE, e.y1 / h) AS pos_y,
     CASE WHEN n1 > n0 THEN CAST(length(text) - n0 AS DOUBLE) / (n1 - n0) ELSE 0.5 END AS length_norm,
     CASE element_type WHEN 'Plain Text' THEN 0 WHEN 'Title' THEN 1 WHEN 'Figure' THEN 3 WHEN 'Figure Caption' THEN 4 WHEN 'Table' THEN 5 WHEN 'Table Caption' THEN 6 ELSE 13 END AS element_type_code,
-    coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (e.y1 - above) / 50)), 0.0) AS spacing_before, coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (below - e.y2) / 50)), 0.0) AS spacing_after, least(1.0::DOUBLE, e.x1 / 100) AS indentation, substr(md5(text), 1, 16) AS content_hash
+    coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (e.y1 - above) / 50)), 0.0) AS spacing_before, coalesce(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (below - e.y2) / 50)), 0.0) AS spacing_after, least(1.0::DOUBLE, e.x1 / 100) AS indentation, substr(md5(text), 1, 16) AS content_hash,
+    string_split(regexp_extract(text, '^([a-zA-Z]*\d*(?:\.[a-zA-Z\d]+)*)', 1), '.') AS parts, trim(text) AS hierarchy_path
   FROM styled e JOIN st ON st.doc_id = e.doc_id JOIN ys ON ys.doc_id = e.doc_id AND ys.page_number = e.page_number AND ys.y1 = e.y1)"""
 
 
 @query(f"""{_CODES}
 SELECT doc_id, CAST(page_number AS BIGINT) AS page_number, element_id, round(font_size_norm, 9) AS font_size_norm, CAST(font_style_code AS BIGINT) AS font_style_code, CAST(alignment_code AS BIGINT) AS alignment_code, round(pos_x, 9) AS pos_x, round(pos_y, 9) AS pos_y,
   round(length_norm, 9) AS length_norm, CAST(element_type_code AS BIGINT) AS element_type_code, round(spacing_before, 9) AS spacing_before, round(spacing_after, 9) AS spacing_after, round(indentation, 9) AS indentation, content_hash,
-  substr(md5('fs' || printf('%.2f', font_size_norm) || '_st' || font_style_code || '_al' || alignment_code || '_hl0_et' || element_type_code), 1, 12) AS signature FROM c""")
+  substr(md5('fs' || printf('%.2f', font_size_norm) || '_st' || font_style_code || '_al' || alignment_code || '_hl' || (len(parts) - 1) || '_et' || element_type_code), 1, 12) AS signature,
+  CAST(len(parts) - 1 AS BIGINT) AS hierarchy_level, hierarchy_path, CASE WHEN regexp_full_match(array_to_string(parts, '.'), '[0-9]+([.][0-9]+)*') THEN 'arabic_decimal' ELSE 'mixed_alphanumeric' END AS number_type FROM c""")
 def element_codes(spark, sf_dir):
     """Structural codes and signatures of elements."""
     c = encode.encode(fx.styled(spark, sf_dir))
     doubles = ("font_size_norm", "pos_x", "pos_y", "length_norm", "spacing_before", "spacing_after", "indentation")
-    return _big(c.drop("number_type", "hierarchy_level").withColumns({d: F.round(d, 9) for d in doubles}))
+    return _big(c.withColumns({d: F.round(d, 9) for d in doubles}))
 
 
-@query(f"""{_CODES}, s AS (SELECT doc_id, element_id, 'L0_' || substr(md5('fs' || printf('%.2f', font_size_norm) || '_st' || font_style_code || '_al' || alignment_code || '_hl0_et' || element_type_code), 1, 8) AS cluster FROM c)
+@query(f"""{_CODES}, s AS (SELECT doc_id, element_id, 'L' || (len(parts) - 1) || '_' || substr(md5('fs' || printf('%.2f', font_size_norm) || '_st' || font_style_code || '_al' || alignment_code || '_hl' || (len(parts) - 1) || '_et' || element_type_code), 1, 8) AS cluster FROM c)
 SELECT doc_id, cluster, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(element_id AS VARCHAR), ',' ORDER BY element_id) AS element_ids FROM s GROUP BY 1, 2""")
 def element_clusters(spark, sf_dir):
     """Elements by level and signature."""

@@ -16,8 +16,9 @@ from ..functions.style import docx_heading_level
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: Justification names of the format and the alignment they stand for.
 ALIGNMENTS = {"left": "left", "start": "left", "center": "center", "right": "right", "end": "right", "both": "justify", "distribute": "distribute"}
-SCHEMA = "path string, ord int, element_type string, text string, style string, alignment string, font_name string, font_size double, bold boolean, italic boolean, underline boolean, n_runs int, n_rows int, n_cols int, x1 double, y1 double, x2 double, y2 double, error string"
+SCHEMA = "path string, ord int, element_type string, text string, style string, alignment string, font_name string, font_size double, bold boolean, italic boolean, underline boolean, n_runs int, n_rows int, n_cols int, x1 double, y1 double, x2 double, y2 double, left_indent double, right_indent double, first_line_indent double, space_before double, space_after double, keep_together boolean, keep_with_next boolean, page_break_before boolean, widow_control boolean, error string"
 _EMPTY = (None,) * 8
+_NO_FORMAT = (None,) * 9
 
 
 def _on(props, tag: str) -> bool | None:
@@ -35,6 +36,30 @@ def _font(run) -> tuple:
     return name, size, _on(props, "b"), _on(props, "i"), _on(props, "u")
 
 
+def _points(node, *names: str) -> float | None:
+    """The first of these measures that is set, from twentieths of a point."""
+    for name in () if node is None else names:
+        value = node.get(_W + name)
+        if value is not None:
+            return float(value) / 20
+    return None
+
+
+def _format(p) -> tuple:
+    """Indents and distances of a paragraph in points, and how it keeps together; a hanging first line is negative.
+    What the paragraph does not set itself is null."""
+    props = p.find(_W + "pPr")
+    if props is None:
+        return _NO_FORMAT
+    ind, space = props.find(_W + "ind"), props.find(_W + "spacing")
+    hanging = _points(ind, "hanging")
+    first = _points(ind, "firstLine") if hanging is None else -hanging
+    return (
+        _points(ind, "left", "start"), _points(ind, "right", "end"), first, _points(space, "before"), _points(space, "after"),
+        _on(props, "keepLines"), _on(props, "keepNext"), _on(props, "pageBreakBefore"), _on(props, "widowControl"),
+    )
+
+
 def _text(node) -> str:
     return "".join("\t" if t.tag == _W + "tab" else "\n" if t.tag == _W + "br" else t.text or "" for t in node.iter() if t.tag in (_W + "t", _W + "tab", _W + "br"))
 
@@ -63,13 +88,13 @@ def read_document(content: bytes) -> list[tuple]:
     for place, p in enumerate(body.findall(_W + "p")):
         text, *rest = _paragraph(p, names)
         if text.strip():
-            out.append((len(out), "Paragraph", text, *rest, None, None, 0.0, place * 20.0, 500.0, place * 20.0 + 15, None))
+            out.append((len(out), "Paragraph", text, *rest, None, None, 0.0, place * 20.0, 500.0, place * 20.0 + 15, *_format(p), None))
     for table in body.findall(_W + "tbl"):
         rows = [["\n".join(_text(p) for p in c.findall(_W + "p")).strip() for c in r.findall(_W + "tc")] for r in table.findall(_W + "tr")]
         if any(any(r) for r in rows):
-            first = next((q for p in table.iter(_W + "p") if (q := _paragraph(p, names))[0].strip()), None)
+            first = next(((*q[1:], _format(p)) for p in table.iter(_W + "p") if (q := _paragraph(p, names))[0].strip()), None)
             top = len(out) * 20.0
-            out.append((len(out), "Table", "\n".join("\t".join(r) for r in rows), *(first[1:] if first else _EMPTY), len(rows), max(map(len, rows)), 0.0, top, 500.0, top + 50, None))
+            out.append((len(out), "Table", "\n".join("\t".join(r) for r in rows), *(first[:-1] if first else _EMPTY), len(rows), max(map(len, rows)), 0.0, top, 500.0, top + 50, *(first[-1] if first else _NO_FORMAT), None))
     return out
 
 

@@ -55,12 +55,21 @@ def snapshot(lines: DataFrame, elements: DataFrame, fuzzy: bool = False, flat: b
     return sections.flatten(found) if flat else found
 
 
-def deliver(lines: DataFrame, elements: DataFrame, history: str, sink: Callable[[DataFrame, int], None], fuzzy: bool = False):
+def error_sections(failures: DataFrame, id_type: str = "long") -> DataFrame:
+    """failures(doc_id, error) as sections: title "Error", what went wrong as content, level 0; one for each failed
+    document (the smallest message), none where error is null."""
+    one = failures.where("error is not null").groupBy("doc_id").agg(F.min("error").alias("error"))
+    text = F.concat(F.lit("Failed to process document: "), F.col("error"))
+    return one.select(F.col("doc_id").cast(id_type).alias("doc_id"), F.lit("Error").alias("title"), text.alias("content"), F.lit(0).alias("level"))
+
+
+def deliver(lines: DataFrame, elements: DataFrame, history: str, sink: Callable[[DataFrame, int], None], fuzzy: bool = False, failures: DataFrame | None = None):
     """A streaming query that hands each section to `sink(rows, batch_id)` once, when it is finished: its successor has
     come, or its outline has ended.
 
     `history` is a folder for lines by batch; a batch that runs again overwrites its own part, so the sections sent with
-    a batch number are the same each time.
+    a batch number are the same each time. A document in failures(doc_id, error) sends its error section with the first
+    of its lines and nothing else, and the others go on. Each batch reads the elements of the documents it touches.
     """
 
     def each(batch: DataFrame, number: int) -> None:
@@ -69,10 +78,18 @@ def deliver(lines: DataFrame, elements: DataFrame, history: str, sink: Callable[
         touched = spark.read.schema(LINES).parquet(f"{history}/batch={number}").select("doc_id").distinct()
         so_far = spark.read.schema(f"{LINES}, batch int").parquet(history).where(F.col("batch") <= number).join(touched, "doc_id", "left_semi")
 
+        failed = None
+        if failures is not None:
+            known = so_far.where(F.col("batch") < number).select("doc_id").distinct()
+            failed = error_sections(failures.join(touched, "doc_id", "left_semi").join(known, "doc_id", "left_anti"))
+            so_far = so_far.join(failures.where("error is not null"), "doc_id", "left_anti")
+        parts = elements.join(touched, "doc_id", "left_semi")
+
         def done(rows: DataFrame) -> DataFrame:
-            return sections.finished(snapshot(rows, elements, fuzzy, flat=False), rows.where("closed"))
+            return sections.finished(snapshot(rows, parts, fuzzy, flat=False), rows.where("closed"))
 
         sent = done(so_far.where(F.col("batch") < number)).select("doc_id", "title_idx")
-        sink(done(so_far).join(sent, ["doc_id", "title_idx"], "left_anti"), number)
+        rows = done(so_far).join(sent, ["doc_id", "title_idx"], "left_anti")
+        sink(rows if failed is None else rows.unionByName(failed, allowMissingColumns=True), number)
 
     return lines.writeStream.foreachBatch(each)

@@ -1,13 +1,17 @@
 """Operators on hand-made rows."""
 
+import contextlib
 import io
+import sys
+import types
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quirefold.operators import elements, encode, merge, outline, sections, spatial, tables
-from quirefold.sources import docx, html, lines, routing, spans
+from quirefold.sources import docx, html, lines, pdf, routing, spans
 
 BOX = "doc_id long, page_number int, element_id long, x1 double, y1 double, x2 double, y2 double"
 
@@ -105,7 +109,7 @@ def test_rejects(spark):
 def _docx() -> bytes:
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t, pr="": f'<w:p><w:pPr>{pr}</w:pPr><w:r><w:rPr><w:b/><w:sz w:val="28"/></w:rPr><w:t>{t}</w:t></w:r></w:p>'
-    body = p("Intro", '<w:pStyle w:val="H1"/><w:jc w:val="center"/>') + "<w:tbl><w:tr><w:tc>" + p("a") + "</w:tc><w:tc>" + p("b") + "</w:tc></w:tr></w:tbl>" + p("Text") + p("  ")
+    body = p("Intro", '<w:pStyle w:val="H1"/><w:keepNext/><w:spacing w:before="240"/><w:ind w:left="720" w:hanging="360"/><w:jc w:val="center"/>') + "<w:tbl><w:tr><w:tc>" + p("a") + "</w:tc><w:tc>" + p("b") + "</w:tc></w:tr></w:tbl>" + p("Text") + p("  ")
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
@@ -119,6 +123,8 @@ def test_docx(spark):
     good = [r for r in rows if r["path"] == "a.docx"]
     assert [(r["element_type"], r["text"], r["heading_level"]) for r in good] == [("Paragraph", "Intro", 1), ("Paragraph", "Text", 0), ("Table", "a\tb", 0)]
     assert good[0]["alignment"] == "center" and good[0]["font_size"] == 14.0 and good[0]["bold"]
+    assert (good[0]["left_indent"], good[0]["first_line_indent"], good[0]["space_before"], good[0]["space_after"], good[0]["keep_with_next"]) == (36.0, -18.0, 12.0, None, True)
+    assert good[1]["left_indent"] is None and good[2]["left_indent"] is None
     assert [r["error"] is not None for r in rows if r["path"] == "b.docx"] == [True]
     assert {r["path"]: r["text"] for r in docx.docx_text(files).collect()} == {"a.docx": "Intro\nText", "b.docx": ""}
     assert [(r["text"], r["is_heading"], r["level"]) for r in docx.docx_structure(files).orderBy("ord").collect()] == [("Intro", True, 1), ("Text", False, None)]
@@ -194,3 +200,53 @@ def test_pages_without_an_id_stay(spark):
 
     pages = spark.createDataFrame([(None, "<p>a</p>"), (2**60 + 1, "<h1>b</h1>"), (3, None)], "page_id long, html string")
     assert sorted([(r["page_id"], r["text"]) for r in html_blocks(pages).collect()], key=str) == [(2**60 + 1, "b"), (None, "a")]
+
+
+def test_levels_by_number_or_font_size(spark):
+    rows = [(1, 1, 0, "Title", "1.2. A", 20.0), (1, 1, 1, "Title", " ", 18.0), (1, 1, 2, "Heading", " ", 16.0), (1, 1, 3, "Title", " ", 14.5), (1, 1, 4, "Title", " ", None), (1, 1, 5, "Plain Text", " ", 16.0), (1, 1, 6, "Title", "", 16.0), (1, 1, 7, "Title", None, 16.0)]
+    schema = "doc_id long, page_number int, element_id long, element_type string, text string, font_size double"
+    made = spark.createDataFrame(rows, schema).selectExpr("*", "'left' alignment", "0D x1", "double(element_id * 20) y1", "50D x2", "double(element_id * 20 + 10) y2")
+    got = [(r["hierarchy_level"], r["hierarchy_path"]) for r in encode.encode(made).orderBy("element_id").collect()]
+    assert got == [(1, "1.2. A"), (0, ""), (1, ""), (2, ""), (3, ""), (0, ""), (0, ""), (0, "")]
+
+
+def test_accepted_formats(spark):
+    names = spark.createDataFrame([("A.PDF",), ("b.doc",), ("c.tif",), ("d",), (None,)], "path string")
+    got = [tuple(r) for r in names.select(*[routing.accepted(names.path, w) for w in ("pdf", "docx", "detector")]).collect()]
+    assert got == [(True, False, True), (False, True, False), (False, False, True), (False, False, False), (False, False, False)]
+    assert {r["way"]: r["takes_bytes"] for r in routing.ways(spark).collect()} == {"pdf": True, "docx": False, "detector": True}
+
+
+class _Page:
+    def get_text(self, kind):
+        span = {"text": "Hi", "bbox": (1, 2, 3, 4), "font": "F-Bold", "size": 16.0, "flags": 16, "color": 255}
+        line = {"bbox": (1, 2, 3, 4), "spans": [span, span | {"text": " "}]}
+        return {"blocks": [{"type": 0, "bbox": (0, 0, 9, 9), "lines": [line]}, {"type": 1, "bbox": (0, 0, 9, 9)}]}
+
+    def get_pixmap(self, dpi):
+        return types.SimpleNamespace(width=dpi, height=2 * dpi, tobytes=lambda kind: kind.encode())
+
+
+def test_pdf_provider_with_a_library_in_place_of_the_real_one(spark, monkeypatch):
+    @contextlib.contextmanager
+    def opened(stream, filetype):
+        if not stream.startswith(b"%PDF"):
+            raise ValueError("no objects found")
+        yield [_Page()] * int(stream[4:])
+
+    monkeypatch.setitem(sys.modules, "pymupdf", types.SimpleNamespace(open=opened))
+    files = pd.DataFrame({"doc_id": [1, 2, 3], "content": [b"%PDF2", b"no", None]})
+    got = pd.concat(pdf.Pages().rows([files]))
+    assert got.page_number.tolist() == [1, 2, None, None] and got.error.isna().tolist() == [True, True, False, False]
+    pages = spark.createDataFrame(got.to_numpy().tolist(), pdf.Pages.schema)
+    assert [(r["doc_id"], r["page_number"], r["element_id"], r["text"], r["bold"]) for r in spans.span_elements(pages).collect()] == [(1, 1, 1, "Hi", True), (1, 2, 2, "Hi", True)]
+    assert {r["doc_id"] for r in pdf.failures(pages).collect()} == {2, 3}
+    images = pd.concat(pdf.Rasters(72).rows([files]))
+    assert images.png.tolist() == [b"png", b"png", None, None] and images.height.tolist()[:2] == [144, 144]
+
+
+def test_pdf_provider_says_what_it_lacks(monkeypatch):
+    for name in ("pymupdf", "fitz"):
+        monkeypatch.setitem(sys.modules, name, None)
+    with pytest.raises(RuntimeError, match="PyMuPDF"):
+        list(pdf.Pages().rows([]))

@@ -40,3 +40,15 @@ def test_sections_are_delivered_once_when_finished(spark, tmp_path):
     batch = stream.snapshot(whole, elements.where("doc_id = 1"), flat=False).collect()
     assert sorted((r["title"], r["content"]) for r in batch) == [("A", "a"), ("B", "b"), ("C", "c")]
     assert sections.flatten(stream.snapshot(whole, elements, flat=False)).count() == 3
+
+
+def test_a_failed_document_sends_its_error_and_the_others_go_on(spark, tmp_path):
+    for i in range(3):
+        pieces(spark, 8).where(F.col("seq") % 3 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    elements = spark.createDataFrame([(d, i, t) for d in (1, 2) for i, t in enumerate(["A", "a", "B", "b", "C", "c"])], "doc_id long, ord long, text string")
+    failures = spark.createDataFrame([(2, "no text"), (1, None), (3, "never touched")], "doc_id long, error string")
+    sent = []
+    lines = stream.completed_lines(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    writer = stream.deliver(lines, elements, str(tmp_path / "history"), lambda rows, n: sent.extend((r["doc_id"], r["title"], r["content"]) for r in rows.collect()), failures=failures)
+    writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(sent) == [(1, "A", "a"), (1, "B", "b"), (1, "C", "c"), (2, "Error", "Failed to process document: no text")]
