@@ -118,7 +118,12 @@ def _rows(docs: DataFrame, idf: np.ndarray) -> pa.Table:
 
 
 def fit(docs: DataFrame, learn_from: Column) -> Model | None:
-    """Train on rows of `docs` (text, lang) for which learn_from holds; None if there are none."""
+    """Train on rows of `docs` (doc_id, text, lang) for which learn_from holds; None if there are none, or no text of
+    them has a letter.
+
+    Rows are drawn by id and text, and rows equal in both are learned from once (with the smallest lang), so about
+    MAX_TRAIN rows reach the driver however often ids, missing ids or texts repeat.
+    """
     text_batches(docs.sparkSession)
     rows = docs.where(learn_from & F.col("text").isNotNull() & F.col("lang").isNotNull())
     n = rows.select("lang").count()
@@ -127,7 +132,8 @@ def fit(docs: DataFrame, learn_from: Column) -> Model | None:
     frequency = document_frequencies(rows)
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])).astype(np.float32) + 1
     share = min(1.0, MAX_TRAIN / n)
-    sample = _rows(rows.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(share * 1_000_000) + 1), idf)
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(9), "text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    sample = _rows(drawn.groupBy("doc_id", "text").agg(F.min("lang").alias("lang")), idf)
     if not sample.num_rows:
         return None
     label = sample["lang"].to_pylist()

@@ -107,7 +107,12 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
-    """Learn quality from labelled rows outside the held-out fold; None if there are none."""
+    """Learn quality from labelled rows outside the held-out fold; None if there are none, or either table is empty.
+
+    A document is learned from once: of rows that share an id the one with the largest text counts, of repeated labels
+    the larger, so about MAX_TRAIN rows reach the driver however often rows repeat. Rows without an id have no label. A
+    null text is learned as the empty one, whole texts count however long, and other columns of both tables are ignored.
+    """
     text_batches(docs.sparkSession)
     rows = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD)).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("label"))  # of repeated labels the larger counts
     n = rows.count()
@@ -116,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
     share = int(min(1.0, MAX_TRAIN / n) * 1_000_000) + 1
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share)
     # The draw is about MAX_TRAIN rows whatever the table, so it may be broadcast.
-    joined = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(drawn), "doc_id").select("label", "text", "n_chars", "doc_id")
+    joined = docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.max(F.struct("text", "n_chars")).alias("row")).select("label", "row.text", "row.n_chars", "doc_id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
 def score(docs: DataFrame, model: Machine | None) -> DataFrame:
     """doc_id and score (0 to 1, higher: quality 1 likelier) of every row; 0.5 where nothing could be learned.
 
-    A null text counts as empty, a null n_chars as 0. lang, source and doc_id are no inputs.
+    A null text counts as empty, a null n_chars as 0. lang, source and doc_id are no inputs. Repeated rows get a row
+    each, with equal scores for equal text and n_chars; texts count whole, however long; an empty table gives an empty
+    result; other columns are ignored, whatever their names.
     """
 
     text_batches(docs.sparkSession)

@@ -238,7 +238,13 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray | None]:
-    """Lexicon and score weights from labelled rows outside the held-out fold, about MAX_TRAIN of them at most."""
+    """Lexicon and score weights from labelled rows outside the held-out fold, about MAX_TRAIN of them at most.
+
+    A document is learned from once: of rows that share an id the largest text counts, of repeated labels the larger, so
+    the draw keeps its bound however often rows repeat. Rows without an id have no label. Null and empty texts teach the
+    weights of texts without a hit, whole texts count however long, and other columns of both tables are ignored. With
+    no label, or no document that has one, the lexicon is the fixed one and there are no weights.
+    """
     text_batches(docs.sparkSession)
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, FOLD)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))  # of repeated labels the larger counts
     n = rows.count()
@@ -248,7 +254,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray | Non
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share)
     # About MAX_TRAIN rows whatever the table, so the draw may be broadcast. Score weights come from hits of terms that
     # the other half of the draw shows to be toxic, else every learned term would look certain.
-    joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(2)).cast("int"))
+    joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text")).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(2)).cast("int"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,7 +336,8 @@ def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray | None) -> Data
     """doc_id, score (0 to 1, higher: toxic 1 likelier) and n_hits of every row.
 
     Null and empty texts have no hits and get the score of such texts. Without anything learned the score is 0.9 with
-    abuse and 0.05 without. Other columns are ignored.
+    abuse and 0.05 without. Repeated rows get a row each, an empty table an empty result; texts count whole, however
+    long. Other columns are ignored.
     """
 
     text_batches(docs.sparkSession)
