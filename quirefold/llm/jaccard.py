@@ -9,7 +9,8 @@ pivots divide what is left:
 
 1. Equal sets are one class (by a 64-bit digest); only classes go on.
 2. Coarse regions. If x and y link they differ in at most D = 15 (|x| + |y|) / 185 shingles, so of more than D
-   hash ranges one holds the same shingles in both. Each class emits a signature per range; signatures with equal
+   hash ranges one holds the same shingles in both. Each class emits signatures of its D + 1 fullest ranges (of 1.5 D,
+   so that those all unrelated texts share, with no or one shingle, stay out); signatures with equal
    members count once, and classes with an equal signature are chained into one region unless a lower bound of their
    distance (from counts of shingles in buckets) exceeds what links; so every link lies inside one region.
 3. Regions of more than LIMIT classes are divided by pivots: each class goes to the Voronoi cell of its nearest
@@ -53,8 +54,10 @@ LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
 BROADCAST_ROWS = 1_000_000
 #: (from percent, shingles that a bucket of a sketch has at most, step of levels in percent). The lower the limit, the
 #: larger the differences that sketches must tell from those of unrelated sets, and the fewer shingles a hash range has.
-#: At 16 a bucket, sketches of unrelated sets differ by 0.14 of both sizes or more, and 0.081 is what may link.
-PRUNING = ((85, 16, 170), (0, 12, 135))
+#: At 16 a bucket, sketches of unrelated sets differ by 0.14 of both sizes or more, and 0.081 is what may link. At 80 % it
+#: is 0.111, and 64 buckets of 12 leave 0.16 with a deviation of 0.016 (0.14 and 0.013 once a shorter set of the group
+#: halves them), so that groups of thousands chain by chance; 6 a bucket leave 0.22.
+PRUNING = ((85, 16, 170), (0, 6, 135))
 _ODD = np.uint64(0x9FB21C651E98DF25)
 #: Tables that depend on sizes only; plain dictionaries, so that functions that use them travel by value.
 _levels: dict[tuple[int, int], tuple[tuple[int, int], ...]] = {}
@@ -101,7 +104,7 @@ def level_of(differences: int, percent: int = PERCENT) -> tuple[int, int]:
     cap, step = 1, pruning(percent)[1]
     while cap < differences:
         cap = max(cap + 1, cap * step // 100)
-    return cap, cap + 1 + (cap + 1) // 12
+    return cap, cap + 1 + (cap + 1) // 2
 
 
 def levels(size: int, percent: int = PERCENT) -> tuple[tuple[int, int], ...]:
@@ -127,9 +130,9 @@ def range_bounds(ranges: int) -> np.ndarray:
 def signatures(found: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
     """Signatures of a sorted set, one array for each of its levels.
 
-    A range with fewer than two shingles is weak: unrelated texts share it by chance. Weak ranges stay out unless
-    a set has as many of them as ranges that must agree; then it, and any set it could meet in weak ranges only,
-    emits them too.
+    Unrelated texts share ranges with no or one shingle by chance, so all but `cap` + 1 ranges stay out, those with the
+    fewest shingles first, then by their hash. No link is lost: linked sets agree in at least one range more than stays out,
+    and agreeing ranges have one order in both; were the last of them left out by one set, it would leave out all.
     """
     out = []
     with np.errstate(over="ignore"):
@@ -140,8 +143,7 @@ def signatures(found: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
             signs = sums[at[1:]] - sums[at[:-1]]
             signs = (signs ^ np.uint64(ranges)) * tx._MIX + np.arange(ranges, dtype=np.uint64) * _ODD
             signs = (signs ^ (signs >> np.uint64(30))) * _ODD
-            strong = np.diff(at) >= 2
-            out.append(signs if ranges - strong.sum() >= ranges - cap else signs[strong])
+            out.append(signs[np.lexsort((signs, np.diff(at)))[ranges - cap - 1 :]])
     return out
 
 

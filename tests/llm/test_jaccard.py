@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,43 @@ def test_equals_all_pairs_at_other_limits(spark, monkeypatch, tiny):
         for a, b in pairs:
             want[a] = want[b] = min(want[a], want[b])
     assert got == want and len(set(want.values())) < len(want)
+
+
+def test_signatures_meet_at_80():
+    """Every pair that links at 80 % shares a signature, unrelated sets share none, not even by one common shingle."""
+    draw = np.random.default_rng(6)
+    for n in (2, 5, 9, 13, 20, 50, 120, 400, 890, 1500):
+        for _ in range(60):
+            x = np.unique(draw.integers(0, 2**64, n, dtype=np.uint64))
+            k = draw.integers(0, max(1, n // 9) + 1)
+            y = np.unique(np.concatenate([draw.permutation(x)[k:], draw.integers(0, 2**64, draw.integers(0, max(1, n // 9) + 1), dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            if both and 100 * both >= 80 * (len(x) + len(y) - both) and jaccard.digest(x) != jaccard.digest(y):
+                a, b = np.concatenate(jaccard.signatures(x, 80)), np.concatenate(jaccard.signatures(y, 80))
+                assert len(np.intersect1d(a, b))
+                s, t = jaccard.sketch(x, 80), jaccard.sketch(y, 80)
+                kept = jaccard.stack([s, t], min(len(s), len(t)))
+                assert jaccard._maybe_linked(np.array([len(x), len(y)]), kept, np.array([0]), np.array([1]), 80)[0]
+    common = draw.integers(0, 2**64, 3, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, draw.integers(0, 2**64, 887, dtype=np.uint64)])) for _ in range(100)]
+    signs = np.concatenate([s for x in sets for s in jaccard.signatures(x, 80)])
+    assert len(np.unique(signs)) == len(signs)
+
+
+def test_unrelated_texts_do_not_chain(spark):
+    """A region of unrelated sets has no pivots that divide it: blocks copy each set to all others, which fills disks."""
+    draw = random.Random(7)
+    rows = [(i, " ".join(f"w{draw.randrange(10**6)}" for _ in range(700 + i))) for i in range(300)]
+    rows.append((300, rows[0][1] + " end"))
+    found = jaccard.read(spark.createDataFrame(rows, DOCS), 2, 5, 80).localCheckpoint()
+    owners = found.where("part is null").selectExpr("cls", "n_shingles n", "sketch")
+    edges = jaccard.chained(found.where("part is not null"), owners, 80).where("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
+    assert edges.count() == 1
+
+
+def test_sketches_of_unrelated_sets_of_one_group_differ():
+    """Also where a shorter set brings the sketches of its group to fewer buckets."""
+    draw = np.random.default_rng(8)
+    sets = [np.unique(draw.integers(0, 2**64, 700 + 2 * i, dtype=np.uint64)) for i in range(200)]
+    table = pa.table({"sig": [1] * 200, "cls": range(200), "n": [len(s) for s in sets], "sketch": [jaccard.sketch(s, 80) for s in sets]})
+    assert jaccard._near_edges(table, 80).num_rows == 0
