@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.fuzzy import title_matches
+from ..functions.fuzzy import first_match
 
 
 def parse_outline(outlines: DataFrame, normalized: bool = False) -> DataFrame:
@@ -48,34 +48,35 @@ def match_titles(titles: DataFrame, elements: DataFrame, fuzzy: bool = True) ->
     """Adds element_ord to titles: the first element, not before the last match, whose text holds the title.
 
     Unmatched titles get null and do not move the search on. The search is sequential within a document, so a document's
-    titles and texts are folded in one task; documents are independent, and those without a title are left out. fuzzy
-    False asks for exact containment, which needs no Python.
+    titles in order and its elements in order are one row, and documents are independent. fuzzy False asks for exact
+    containment, which needs no Python.
     """
     titles = titles.drop("element_ord")
-    if not fuzzy:
-        return _exact(titles, elements)
-    elements = elements.select("doc_id", "ord", "text").join(titles.select("doc_id").distinct(), "doc_id", "left_semi")
-    kinds = {f.name: f.dataType.simpleString() for f in titles.schema.fields}
-
-    def fold(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("title_idx"), right.sort_values("ord")
-        texts, ords = right["text"].tolist(), right["ord"].tolist()
-        at, out = 0, []
-        for title in left["title"]:
-            hit = next((i for i in range(at, len(texts)) if title_matches(title, texts[i])), None)
-            out.append(None if hit is None else ords[hit])
-            at = at if hit is None else hit
-        return left.assign(element_ord=pd.array(out, dtype="Int64"))
-
-    schema = ", ".join([f"{c} {k}" for c, k in kinds.items()] + ["element_ord long"])
-    return titles.groupBy("doc_id").cogroup(elements.groupBy("doc_id")).applyInPandas(fold, schema)
-
-
-def _exact(titles: DataFrame, elements: DataFrame) -> DataFrame:
-    """The search by containment as a fold over arrays: a document's titles in order over its elements in order."""
     t = titles.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("title_idx", F.struct(*titles.columns).alias("row")))).alias("__titles"))
     e = elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ord").cast("long").alias("ord"), "text"))).alias("__elements"))
     both = t.join(e, "doc_id", "left").withColumn("__elements", F.coalesce("__elements", F.array().cast("array<struct<ord:bigint,text:string>>")))
+    found = both.withColumn("__hits", _near_hits(F.col("__titles.row.title"), F.col("__elements.text")) if fuzzy else _exact_hits())
+    rows = found.select(F.explode(F.zip_with("__titles", "__hits", lambda one, hit: F.struct(one["row"].alias("row"), F.get("__elements", hit)["ord"].alias("element_ord")))).alias("r"))
+    return rows.select("r.row.*", "r.element_ord")
+
+
+@F.arrow_udf("array<int>")
+def _near_hits(titles: pa.Array, texts: pa.Array) -> pa.Array:
+    """Of each document, the place of the element of each title; documents become Python objects one by one."""
+    out = []
+    for title_list, text_list in zip(titles, texts, strict=True):
+        found, at, elements = [], 0, text_list.as_py()
+        normal = [" ".join((x or "").split()) for x in elements]
+        for title in title_list.as_py():
+            hit = first_match(title, elements, at, normal)
+            found.append(hit)
+            at = at if hit is None else hit
+        out.append(pa.array(found, pa.int32()))
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def _exact_hits() -> Column:
+    """The search by containment as a fold over __titles and __elements."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits"))
 
     def step(state: Column, one: Column) -> Column:
@@ -85,9 +86,7 @@ def _exact(titles: DataFrame, elements: DataFrame) -> DataFrame:
         hit = F.array_position(holds, True).cast("int")  # 0: none
         return F.struct(F.when(hit > 0, state["at"] + hit - 1).otherwise(state["at"]).alias("at"), F.concat(state["hits"], F.array(F.when(hit > 0, state["at"] + hit - 1))).alias("hits"))
 
-    found = both.withColumn("__hits", F.aggregate("__titles", start, step, lambda s: s["hits"]))
-    rows = found.select(F.explode(F.zip_with("__titles", "__hits", lambda one, hit: F.struct(one["row"].alias("row"), F.get("__elements", hit)["ord"].alias("element_ord")))).alias("r"))
-    return rows.select("r.row.*", "r.element_ord")
+    return F.aggregate("__titles", start, step, lambda s: s["hits"])
 
 
 def relate(numbers: DataFrame, relation: Column) -> DataFrame:

@@ -119,3 +119,26 @@ def test_names_for_sql(spark):
     rows = spark.sql("SELECT d.id, l.* FROM (SELECT 7 AS id, 'a\n \nb' AS t) d, LATERAL lines_of(d.t) l ORDER BY ord").collect()
     assert [tuple(r) for r in rows] == [(7, 0, "a"), (7, 1, "b")]
     assert spark.sql("SELECT text FROM html_blocks('<p>x</p>')").collect()[0]["text"] == "x"
+
+
+def test_windows_are_compared_together_as_one_by_one():
+    import random
+
+    r = random.Random(3)
+    for letters in ("ab ", "abcdefgh ", "丁方（）cd"):
+        longer = ["".join(r.choice(letters) for _ in range(r.randint(1, 90))) for _ in range(40)]
+        for n in (1, 7, 64, 70):
+            title = "".join(r.choice(letters) for _ in range(n))
+            fits = [b for b in longer if len(b) >= n]
+            slow = [max(fuzzy.ratio(title, b[max(0, end - n) : min(end, len(b))]) for end in range(1, len(b) + n)) for b in fits]
+            assert list(fuzzy.partial_ratios([title], fits)) == slow == list(fuzzy.partial_ratios([title] * len(fits), fits))
+        title = longer[0][:12]
+        assert fuzzy.first_match(title, longer, 1) == next((i for i in range(1, 40) if fuzzy.title_matches(title, longer[i])), None)
+
+
+def test_a_long_text_is_searched_without_a_call_for_each_window(monkeypatch):
+    calls = []
+    plain = fuzzy.lcs_length
+    monkeypatch.setattr(fuzzy, "lcs_length", lambda a, b: calls.append(1) or plain(a, b))
+    assert fuzzy.first_match("a heading of this text", ["lorem ipsum dolor sit amet " * 400, "so: a heding of this text"]) == 1
+    assert len(calls) < 10
