@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions.fuzzy import first_match
@@ -60,7 +61,7 @@ def match_titles(titles: DataFrame, elements: DataFrame, fuzzy: bool = True) ->
     return rows.select("r.row.*", "r.element_ord")
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _near_hits(titles: pa.Array, texts: pa.Array) -> pa.Array:
     """Of each document, the place of the element of each title; documents become Python objects one by one."""
     out = []
