@@ -250,3 +250,26 @@ def test_pdf_provider_says_what_it_lacks(monkeypatch):
         monkeypatch.setitem(sys.modules, name, None)
     with pytest.raises(RuntimeError, match="PyMuPDF"):
         list(pdf.Pages().rows([]))
+
+
+def test_blocks_of_vectors_give_the_distances_of_single_pairs(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(60)] + [(100, [1.0, 2.0]), (101, None), (102, [None] * 8), (103, [0.0] * 8), (104, []), (None, [1.0] * 8), (150, [0.5] * 8)]
+    v = spark.createDataFrame(rows, "id long, vector array<float>")
+    monkeypatch.setattr(encode, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(encode, "ROW_BLOCK", 16)
+    monkeypatch.setattr(encode, "PAIRS", 20)
+    q = v.where("id % 50 = 0 or id > 99")
+    got = encode.cosines_against_all(q, v, 6).collect()
+    plain = q.select(F.col("id").alias("a"), F.col("vector").alias("x")).crossJoin(v.select(F.col("id").alias("b"), F.col("vector").alias("y")))
+    want = plain.select("a", "b", F.round(encode.cosine_distance(F.col("x"), F.col("y")), 6).alias("distance")).collect()
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_rounding_without_decimals_is_that_of_decimals(spark):
+    values = [0.0, -0.0, 0.5, 1.0000000005, 0.1234567885, 2.5e-10, 5e-10, -5e-10, -0.3333333333333, 0.30000000049999999, 1e17, float("nan"), float("inf"), None] + [i / 7919 for i in range(500)] + [(2 * i + 1) / 2e9 for i in range(500)]
+    x = spark.createDataFrame([(v,) for v in values], "x double")
+    rows = x.select(encode.rounded(F.col("x"), 9).alias("a"), F.round("x", 9).alias("b")).collect()
+    assert [repr(r["a"]) for r in rows] == [repr(r["b"]) for r in rows]
