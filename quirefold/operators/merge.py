@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections import namedtuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 PAGE = ["doc_id", "page_number"]
 LINE_STEP = 0.5
@@ -118,6 +120,22 @@ def merged(rest: list) -> list[dict]:
     return out
 
 
+#: Pages that are Python objects at one time.
+PAGES_AT_ONCE = 64
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType())}
+_MERGED = T.ArrayType(T.StructType([T.StructField(*(name, _KINDS[kind])) for name, kind in (field.split() for field in MERGED.split(", "))]))
+
+
+@F.arrow_udf(_MERGED)
+def _fold(pages: pa.Array) -> pa.Array:
+    """merged for each page. Only a few pages of a batch are Python objects at a time, the rest stays Arrow data."""
+    kind, out = to_arrow_type(_MERGED), []
+    for lo in range(0, len(pages), PAGES_AT_ONCE):
+        some = pages.slice(lo, PAGES_AT_ONCE).to_pylist()
+        out.append(pa.array([merged([Fragment(*[e[c] for c in _FIELDS]) for e in page]) for page in some], kind))
+    return pa.concat_arrays(out) if out else pa.array([], kind)
+
+
 def merge_fragments(spans: DataFrame) -> DataFrame:
     """Fragments of running text on a page merged greedily, in order of (y1, x1, element_id).
 
@@ -129,12 +147,8 @@ def merge_fragments(spans: DataFrame) -> DataFrame:
     kinds = {"element_id": "long", "element_type": "string", "text": "string", "font_name": "string", "bold": "boolean", "italic": "boolean"}
     rows = spans.select(*PAGE, F.struct(*[F.col(c).cast(kinds.get(c, "double")).alias(c) for c in ("y1", "x1", "element_id", *[c for c in _FIELDS if c not in ("y1", "x1", "element_id")])]).alias("e"))
 
-    @F.pandas_udf(f"array<struct<{MERGED.replace(' array', ':array').replace(', ', ',').replace(' ', ':')}>>")
-    def fold(pages: pd.Series) -> pd.Series:
-        return pd.Series([merged([Fragment(*[e[c] for c in _FIELDS]) for e in page]) for page in pages])
-
     pages = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    return pages.select(*PAGE, F.inline(fold("es")))
+    return pages.select(*PAGE, F.inline(_fold("es")))
 
 
 def enrich(pairs: DataFrame, collapse: bool = False) -> DataFrame:

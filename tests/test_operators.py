@@ -273,3 +273,44 @@ def test_rounding_without_decimals_is_that_of_decimals(spark):
     x = spark.createDataFrame([(v,) for v in values], "x double")
     rows = x.select(encode.rounded(F.col("x"), 9).alias("a"), F.round("x", 9).alias("b")).collect()
     assert [repr(r["a"]) for r in rows] == [repr(r["b"]) for r in rows]
+
+
+def test_pages_of_a_batch_become_python_objects_a_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(merge, "PAGES_AT_ONCE", 2)
+    monkeypatch.setattr(merge, "to_arrow_type", lambda kind: pa.list_(pa.struct([("n", pa.int64())])))
+    monkeypatch.setattr(merge, "merged", lambda page: seen.append(len(page)) or [{"n": len(page)}])
+    one = dict.fromkeys(merge._FIELDS, None) | {"element_id": 1}
+    out = merge._fold.func(pa.array([[one], [one, one], []]))
+    assert seen == [1, 2, 0] and out.to_pylist() == [[{"n": 1}], [{"n": 2}], [{"n": 0}]]
+
+
+def test_heading_tree_shuffles_once(spark):
+    rows = spark.createDataFrame([(1, 0, "t", 0), (1, 1, "A", 1), (1, 2, "B", 2), (1, 3, "C", 1), (None, 0, "D", 1), (None, 1, "E", 2)], "doc_id long, ord long, text string, heading_level int")
+    tree = sections.heading_tree(rows)
+    assert tree._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r["doc_id"], r["sec_idx"]): r["parent_idx"] for r in tree.collect()} == {(1, -1): None, (1, 1): None, (1, 2): 1, (1, 3): None, (None, 0): None, (None, 1): None}
+
+
+def test_blocks_of_pages_leave_python_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(html, "LETTERS_AT_ONCE", 10)
+    pages = spark.createDataFrame([(i, f"<h1>t{i}</h1><p>x</p>") for i in range(30)] + [(30, None), (31, "")], "page_id long, html string").coalesce(1)
+    got = sorted((r["page_id"], r["ord"], r["text"]) for r in html.html_blocks(pages).collect())
+    assert got == sorted([(i, 0, f"t{i}") for i in range(30)] + [(i, 1, "x") for i in range(30)])
+
+
+def test_pairs_beyond_the_threshold_are_not_sorted(spark):
+    codes = encode.encode(spark.createDataFrame([(1, 1, i, "Title", f"t{i}", 12.0, "left", float(i), 1.0, 100.0, 9.0) for i in range(4)], "doc_id long, page_number int, element_id long, element_type string, text string, font_size double, alignment string, x1 double, y1 double, x2 double, y2 double"))
+    plan = encode.similar(codes, threshold=0.25, k=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "0.25" in plan[plan.index("Window") :]
+
+
+def test_pairs_that_repeat_in_a_batch_are_compared_once():
+    from quirefold.functions import fuzzy
+
+    calls = []
+    assert fuzzy._each_pair(lambda a, b: calls.append(1) or 1, ["a", "a", None], ["b", "b", "b"]) == [1, 1, None] and len(calls) == 1
+    a, b = pd.Series(["large ring", "ring", "", None, "x" * 70]), pd.Series(["ring", "large ring", "a", "b", "y" + "x" * 80])
+    assert fuzzy.indel_partial_ratio.func(a, b).astype(object).where(lambda s: s.notna(), None).tolist() == [100.0, 100.0, 0.0, None, 100.0]
