@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,28 +109,36 @@ def heading_tree(elements: DataFrame) -> DataFrame:
     """Sections from heading levels (0: text): each heading opens a section that holds the text up to the next heading;
     its parent is the last earlier heading of a lower level. Text before the first heading is section -1.
 
-    The parent search keeps a stack per document, so a document's headings (not its texts) are folded in one task.
+    The parent search keeps a stack per document, to which only the numbers and levels of its headings go, a document a
+    row; sections and parents meet in that row, so one shuffle by document serves all steps.
     """
     order = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     owned = elements.withColumn("sec_idx", F.coalesce(F.last(F.when(F.col("heading_level") > 0, F.col("ord")), ignorenulls=True).over(order), F.lit(-1)).cast("long"))
     text = tx.ordered_text(F.col("ord"), F.when(F.col("heading_level") == 0, tx.normal(F.col("text"))))
     title = F.max(F.when(F.col("heading_level") > 0, F.col("text")))
     bodies = owned.groupBy("doc_id", "sec_idx").agg(title.alias("title"), F.max("heading_level").alias("level"), text.alias("content"))
-    kind = dict(elements.dtypes)["doc_id"]
+    whole = bodies.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sec_idx", "title", "level", "content"))).alias("__s"))
+    found = whole.withColumn("__up", _stack_parents("__s.sec_idx", F.col("__s.level").cast("array<int>")))
+    rows = found.select("doc_id", F.explode(F.zip_with("__s", "__up", lambda s, up: F.struct(s.alias("s"), up.alias("up")))).alias("r"))
+    # Rows without a document's id have no parents: they need not be of one document.
+    return rows.select("doc_id", "r.s.*", F.when(F.col("doc_id").isNotNull(), F.col("r.up")).alias("parent_idx"))
 
-    def fold(doc: pd.DataFrame) -> pd.DataFrame:
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _stack_parents(numbers: pa.Array, levels: pa.Array) -> pa.Array:
+    """Of each document's sections in order, the last earlier heading of a lower level; none for section -1."""
+    out = []
+    for section_numbers, section_levels in zip(numbers, levels, strict=True):
         stack: list[tuple[int, int]] = []
         up = []
-        doc = doc.sort_values("sec_idx")
-        for idx, level in zip(doc.sec_idx, doc.level, strict=True):
-            while stack and stack[-1][1] >= level:
+        for idx, level in zip(section_numbers.as_py(), section_levels.as_py(), strict=True):
+            while idx >= 0 and stack and stack[-1][1] >= level:
                 stack.pop()
-            up.append(stack[-1][0] if stack else None)
-            stack.append((idx, level))
-        return doc.assign(parent_idx=pd.array(up, dtype="Int64"))[["doc_id", "sec_idx", "parent_idx"]]
-
-    heads = bodies.where("sec_idx >= 0").select("doc_id", "sec_idx", F.col("level").cast("int").alias("level"))
-    return bodies.join(heads.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, sec_idx long, parent_idx long"), ["doc_id", "sec_idx"], "left")
+            up.append(stack[-1][0] if stack and idx >= 0 else None)
+            if idx >= 0:
+                stack.append((idx, level))
+        out.append(pa.array(up, pa.int64()))
+    return pa.array(out, pa.list_(pa.int64()))
 
 
 def latest(snapshots: DataFrame) -> DataFrame:
